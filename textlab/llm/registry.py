@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import sentencepiece_codec
+from . import quality_rules, sentencepiece_codec, winnowing
 
 QUERIES = {
     "op3_sentencepiece": sentencepiece_codec.query,
+    "op5_decontaminate": winnowing.query,
+    "op6_quality_rules": quality_rules.query,
 }
+ORACLES = {"op5_decontaminate": winnowing.ORACLE}
