@@ -33,7 +33,7 @@ def default_model() -> str:
 class ChunkCodec:
     """Encodes and decodes texts with a table of distinct chunks."""
 
-    def __init__(self, model: str, most: int = 150_000, longest: int = 48):
+    def __init__(self, model: str, most: int = 200_000, longest: int = 48):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -42,39 +42,43 @@ class ChunkCodec:
             raise ValueError("a piece of this model crosses a whitespace marker")
         if [self.sp.encode(x) for x in ("a  b", " a")] != [self.sp.encode(x) for x in (f"a{MARK}{MARK}b", f"{MARK}a")]:
             raise ValueError("this model does not keep white space as it is")
-        self.most, self.longest, self.seen = most, longest, {}
+        self.most, self.longest, self.seen, self.old = most, longest, {}, {}
+        self.names = [str(i) for i in range(len(pieces))]
+        plain = (not (self.sp.is_byte(i) or self.sp.is_unknown(i) or self.sp.is_control(i)) for i in range(len(pieces)))
+        self.surface = [p.replace(MARK, " ") if ok else None for p, ok in zip(pieces, plain, strict=True)]
 
-    def _fill(self, chunks: list[str], table: dict) -> None:
+    def _segment(self, chunks: list[str], table: dict) -> None:
         """Segments chunks; an entry is (number of ids, ids as text, decoded text after another chunk)."""
-        for c, ids in zip(chunks, all_ids := self.sp.encode([c[1:] for c in chunks]), strict=True):
-            table[c] = [len(ids), ",".join(map(str, ids)), ""]
-        for c, text in zip(chunks, self.sp.decode(all_ids), strict=True):
-            table[c][2] = f" {text}"
+        names, surface = self.names, self.surface
+        for c, ids in zip(chunks, self.sp.encode([c[1:] for c in chunks]), strict=True):
+            parts = [surface[i] for i in ids]
+            text = f" {self.sp.decode(ids)}" if None in parts else "".join(parts)
+            table[c] = (len(ids), ",".join([names[i] for i in ids]), text)
 
     def run(self, text: str | None) -> tuple[int, str, str]:
         """The number of ids, the ids as decimal text joined by commas, and the decoded text."""
         if not text:
             return 0, "", ""
         chunks = CHUNK.findall(MARK + text.replace(" ", MARK))
-        seen = self.seen
-        if missing := {c for c in chunks if c not in seen}:
-            if len(seen) + len(missing) > self.most:
-                self.seen = seen = {}
-                missing = set(chunks)
-            self._fill(sorted(missing), own := {})
-            if len(missing) <= self.most and max(map(len, missing)) <= self.longest:
-                seen.update(own)
-            else:
-                seen.update((c, e) for c, e in own.items() if len(c) <= self.longest and len(seen) < self.most)
-                entries = [seen.get(c) or own[c] for c in chunks]
-                return self._joined(entries)
-        return self._joined([seen[c] for c in chunks])
-
-    @staticmethod
-    def _joined(entries: list) -> tuple[int, str, str]:
+        entries = list(map(self.seen.get, chunks))
+        if None in entries:
+            entries = self._completed(chunks, entries)
         n, ids, texts = zip(*entries, strict=True)
         return sum(n), ",".join(ids), "".join(texts)[1:]
 
+    def _completed(self, chunks: list[str], entries: list) -> list:
+        """Looks absent chunks up in the older half of the table or segments them. A full table becomes the older half, so
+        chunks that recur stay and those that do not are dropped."""
+        found = {c: self.old.get(c) for c, e in zip(chunks, entries, strict=True) if e is None}
+        if new := [c for c, e in found.items() if e is None]:
+            self._segment(new, found)
+        if len(self.seen) + len(found) > self.most:
+            self.old, self.seen = self.seen, {}
+        self.seen.update((c, e) for c, e in found.items() if len(c) <= self.longest)
+        if len(self.seen) > self.most:
+            self.seen = {}
+        return [found[c] if e is None else e for c, e in zip(chunks, entries, strict=True)]
+
 
 def encode_decode(docs: DataFrame, model: str | None = None, text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), keep: list[str] | None = None) -> DataFrame:
     """`docs` (or the columns in `keep`) with the asked-for outputs: n_tokens, ids, decoded and their SHA-256 digests."""
