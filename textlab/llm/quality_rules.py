@@ -2,7 +2,8 @@
 
 Exact rule counts of a text (words, symbols, repeated lines, words in repeated 3-word windows) and rates derived from them
 form a small feature vector. An isolation forest grown on a bounded hash sample of the documents gives each document the
-mean path length over random splits; short paths mean anomalous. The cut is calibrated on a bounded sample of labelled rows:
+mean path length over random splits; short paths mean anomalous. Only rates that tell the labelled classes apart are split
+on (at least `TELLING` of quality 0 lies outside nearly all of quality 1); without labels all are. The cut is calibrated on a bounded sample of labelled rows:
 it removes as much of quality 0 as it can while it keeps at least `KEEP_GOOD` of quality 1.
 
 Defined results: null and empty texts have no words and fail the base rule; repeated rows are judged alike; without labels
@@ -21,7 +22,7 @@ from .kernels import WordHashes, grams
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\r\x0b\x0c"
-SAMPLE, LABELLED, TREES, PSI, KEEP_GOOD = 4_096, 3_000, 100, 256, 0.995
+SAMPLE, LABELLED, TREES, PSI, KEEP_GOOD, TELLING = 4_096, 3_000, 100, 64, 0.995, 0.05
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 N_FEATURES = 8
 
@@ -70,8 +71,10 @@ def rule_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 class IsolationForest:
     """Random axis splits down to depth log2(psi); a score in (0, 1), higher for shorter mean paths."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, psi: int = PSI, seed: int = 7):
+    def __init__(self, rows: np.ndarray, trees: int = TREES, psi: int = PSI, seed: int = 7, columns: list[int] | None = None):
         rng = np.random.default_rng(seed)
+        self.columns = list(range(rows.shape[1])) if columns is None else columns
+        rows = rows[:, self.columns]
         self.psi = min(psi, len(rows))
         self.depth = max(1, int(np.ceil(np.log2(max(2, self.psi)))))
         size = 2 ** (self.depth + 1)
@@ -98,6 +101,7 @@ class IsolationForest:
         self._grow(t, 2 * node + 1, depth + 1, rows[~left], rng)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
+        rows = rows[:, self.columns]
         total, every = np.zeros(len(rows)), np.arange(len(rows))
         for feature, cut, length in zip(self.feature, self.cut, self.length, strict=True):
             node = np.ones(len(rows), np.int64)
@@ -119,14 +123,17 @@ def fit(docs: DataFrame, labels: DataFrame | None) -> tuple[IsolationForest | No
     rows = _collect(rule_statistics(bounded_sample(docs.where(F.col("text").isNotNull()), SAMPLE, "doc_id")))
     if not len(rows):
         return None, 2.0
-    forest = IsolationForest(rows[np.lexsort(rows.T)])
+    rows = rows[np.lexsort(rows.T)]
     if labels is None:
-        return forest, 2.0
+        return IsolationForest(rows), 2.0
     found = labelled_sample(docs, labels, "quality", LABELLED).select(F.struct("doc_id", "y").alias("key"), "text")
     got = rule_statistics(found, key="key").select(F.col("key.y").alias("y"), "features").collect()
     good, bad = (np.array([r.features for r in got if r.y == y], float).reshape(-1, N_FEATURES) for y in (1, 0))
     if not len(good) or not len(bad):
-        return forest, 2.0
+        return IsolationForest(rows), 2.0
+    low, high = np.quantile(good, [(1 - KEEP_GOOD) / 2, (1 + KEEP_GOOD) / 2], axis=0)
+    telling = np.flatnonzero(((bad < low) | (bad > high)).mean(0) >= TELLING).tolist()
+    forest = IsolationForest(rows, columns=telling or None)
     return forest, float(np.quantile(forest.score(good), KEEP_GOOD)) + 1e-9
 
 
