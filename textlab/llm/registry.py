@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sentencepiece_codec, winnowing
+from . import html_text, importance, language_id, pii, quality_rules, sentencepiece_codec, toxicity, winnowing
 
 QUERIES = {
+    "op1_language_id": language_id.query,
+    "op2_toxicity": toxicity.query,
     "op3_sentencepiece": sentencepiece_codec.query,
+    "op4_pii": pii.query,
     "op5_decontaminate": winnowing.query,
     "op6_quality_rules": quality_rules.query,
+    "op9_html": html_text.query,
+    "op10_importance_resampling": importance.query,
 }
 ORACLES = {"op5_decontaminate": winnowing.ORACLE}

@@ -205,12 +205,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 def cut_hits(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.5) -> DataFrame:
     """`docs` without the hit words (and what stands between them); documents with more than `most_share` of their words hit go."""
-    blocks_of = decontaminate(docs.withColumn("doc_id", F.struct(*docs.columns)), benchmark, "text")
+    columns = docs.columns
+    found = decontaminate(docs.withColumn("doc_id", F.struct(*columns)), benchmark, "text")
 
     def make():
         def fn(batch):
             rows = batch.column("doc_id").to_pylist()
-            out = {c: [] for c in docs.columns}
+            out = {c: [] for c in columns}
             for row, n, hit, spans in zip(rows, batch.column("n_words").to_pylist(), batch.column("n_hit").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 if hit > most_share * n:
                     continue
@@ -222,13 +223,13 @@ def cut_hits(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.5) ->
                     row["text"] = "".join(parts) + text[last:]
                     if "n_chars" in row:
                         row["n_chars"] = len(row["text"])
-                for c in docs.columns:
+                for c in columns:
                     out[c].append(row[c])
             yield out
 
         return fn
 
-    return arrow_map(blocks_of.select("doc_id", "n_words", "n_hit", "spans"), make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return arrow_map(found.select("doc_id", "n_words", "n_hit", "spans"), make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
