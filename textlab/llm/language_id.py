@@ -44,6 +44,8 @@ def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters; longer runs are cut every LONGEST_WORD letters, nothing is dropped."""
     out = []
     for w in LETTERS.findall(text.lower()) if text else ():
+        if not w.isalpha() and not any(map(str.isalpha, w)):  # runs of signs such as a superscript alone
+            continue
         out += [w] if len(w) <= LONGEST_WORD else [w[i : i + LONGEST_WORD] for i in range(0, len(w), LONGEST_WORD)]
     return out
 

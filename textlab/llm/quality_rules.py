@@ -21,6 +21,7 @@ from .common import arrow_map, bounded_sample, labelled_sample, table
 from .kernels import WordHashes, grams
 
 SYMBOLS = "#*$%&|<>"
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = " \t\n\r\x0b\x0c"
 SAMPLE, LABELLED, TREES, PSI, KEEP_GOOD, TELLING = 4_096, 3_000, 100, 64, 0.995, 0.05
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -30,7 +31,8 @@ N_FEATURES = 8
 def rule_counts(text: str | None, hashes: WordHashes) -> tuple[list[int], list[float]]:
     """The five counts and the features of one text."""
     text = text or ""
-    words = text.encode("utf-8", "surrogatepass").split()
+    raw = text.encode("utf-8", "surrogatepass")
+    words = raw.split()
     n, chars = len(words), len(text) - sum(map(text.count, SPACE))
     symbols = sum(map(text.count, SYMBOLS))
     lines = [x for x in text.split("\n") if x.strip(SPACE)] if n else []
@@ -45,7 +47,7 @@ def rule_counts(text: str | None, hashes: WordHashes) -> tuple[list[int], list[f
             for i in range(3):
                 hit[i : i + n - 2] |= again
             repeat = int(hit.sum())
-    upper = sum(map(str.isupper, text[:: max(1, len(text) // 4096)])) / max(1, min(len(text), 4096)) if n else 0.0
+    upper = (len(raw) - len(raw.translate(None, CAPITALS))) / max(1, chars)
     features = [np.log1p(n), chars / max(1, n), symbols / max(1, chars), dup / max(1, len(lines)), repeat / max(1, n), len(np.unique(a)) / max(1, n) ** 0.8, upper, (text.count("!") + text.count("|")) / max(1, n)]
     return [n, chars, symbols, dup, repeat], features
 

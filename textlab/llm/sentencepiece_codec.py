@@ -43,6 +43,7 @@ class ChunkCodec:
         if [self.sp.encode(x) for x in ("a  b", " a")] != [self.sp.encode(x) for x in (f"a{MARK}{MARK}b", f"{MARK}a")]:
             raise ValueError("this model does not keep white space as it is")
         self.most, self.longest, self.seen, self.old = most, longest, {}, {}
+        self.mark = self.sp.piece_to_id(MARK)
         self.names = [str(i) for i in range(len(pieces))]
         plain = (not (self.sp.is_byte(i) or self.sp.is_unknown(i) or self.sp.is_control(i)) for i in range(len(pieces)))
         self.surface = [p.replace(MARK, " ") if ok else None for p, ok in zip(pieces, plain, strict=True)]
@@ -51,6 +52,7 @@ class ChunkCodec:
         """Segments chunks; an entry is (number of ids, ids as text, decoded text after another chunk)."""
         names, surface = self.names, self.surface
         for c, ids in zip(chunks, self.sp.encode([c[1:] for c in chunks]), strict=True):
+            ids = ids or [self.mark]  # a marker alone: the text ends with one space
             parts = [surface[i] for i in ids]
             text = f" {self.sp.decode(ids)}" if None in parts else "".join(parts)
             table[c] = (len(ids), ",".join([names[i] for i in ids]), text)

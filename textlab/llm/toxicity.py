@@ -9,8 +9,8 @@ over voters and telling words is trained on those posteriors and calibrated on t
 Everything is learned from a bounded hash sample (`LABELLED` rows a class, `UNLABELLED` others of the learning fold).
 
 Defined results: null and empty texts are scored as texts without any sign; repeated rows score alike; long texts are read
-whole; without labels of both classes the label model rests on the lexicon alone; other columns are neither read nor
-returned.
+whole; without labels of both classes (there is nothing to fit or calibrate on) the fixed voters have equal weights; other
+columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     rows = sorted(((r.text or "", r.y) for r in labelled_sample(docs, labels, "toxic", LABELLED, keep=learn).collect()), key=lambda r: (r[1], r[0]))
     extra = sorted(r.text for r in bounded_sample(docs.where(learn & F.col("text").isNotNull()), UNLABELLED, "doc_id", seed=9).select("text").collect())
     texts, y = [r[0] for r in rows] + extra, np.array([r[1] for r in rows] + [-1] * len(extra))
-    if not texts:
+    if not {0, 1} <= set(y.tolist()):
         return Model(np.r_[np.full(N_FIXED - 2, 1.0), 0.5, 1.5], {}, -1.0)
     tokens = [tokens_of(t) for t in texts]
     telling = mined(tokens[: len(rows)], y[: len(rows)].tolist())
@@ -180,20 +180,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     tokens = [known(t, dict.fromkeys(telling, 0.0)) for t in tokens]
     more = np.array([[int(bool(w & g)) for g in groups] + [0 if not telling or w else -1] for w in tokens], float)
     labelled = y >= 0
-    both = (y == 0).any() and (y == 1).any()
-    q, _ = label_model(np.hstack([votes, more]), float(np.clip((y == 1).sum() / labelled.sum(), 0.02, 0.6)) if both else 0.1)
+    q, _ = label_model(np.hstack([votes, more]), float(np.clip((y == 1).sum() / labelled.sum(), 0.02, 0.6)))
     x = np.hstack([votes, np.array([[float(t in w) for t in telling] for w in tokens]).reshape(len(texts), len(telling)), np.ones((len(texts), 1))])
-    soft = np.where(y >= 0, 0.3 * q + 0.7 * y, q) if both else q
+    soft = np.where(y >= 0, 0.3 * q + 0.7 * y, q)
     w = logistic(x, soft, np.where(labelled, 2.0, 1.0))
     z = x @ w
-    if both:  # the scale is set on labelled rows, so that 0.7 separates the classes with a margin on both sides
-        high, low = np.median(z[y == 1]), np.median(z[y == 0])
-        cut = max(((np.mean(z[y == 1] >= c) - 5 * np.mean(z[y == 0] >= c)), c) for c in np.unique(np.r_[z[labelled], (high + low) / 2]))[1]
-        below = z[labelled & (z < cut)]
-        middle = (cut + (below.max() if len(below) else cut)) / 2
-        scale = 6 / max(1e-6, high - low)
-        w = w * scale
-        w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - middle * scale
+    # the scale is set on labelled rows, so that 0.7 separates the classes with a margin on both sides
+    high, low = np.median(z[y == 1]), np.median(z[y == 0])
+    cut = max(((np.mean(z[y == 1] >= c) - 5 * np.mean(z[y == 0] >= c)), c) for c in np.unique(np.r_[z[labelled], (high + low) / 2]))[1]
+    below = z[labelled & (z < cut)]
+    middle = (cut + (below.max() if len(below) else cut)) / 2
+    scale = 6 / max(1e-6, high - low)
+    w = w * scale
+    w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - middle * scale
     return Model(w[:N_FIXED], dict(zip(telling, w[N_FIXED:-1].tolist(), strict=True)), float(w[-1]))
 
 
