@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions: text normalisation and tokens, distances and alignments."""

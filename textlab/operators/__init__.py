@@ -1 +1 @@
-"""Operators of the engine."""
+"""DataFrame operators: corpus construction, pairing, evaluation, coverage, layout, grids and reports."""
