@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -39,8 +38,9 @@ PROFILES = tuple(NormProfile(z, w) for z in (True, False) for w in (True, False)
 
 @F.arrow_udf(StringType())
 def nfc(texts: pa.Array) -> pa.Array:
-    """Normal form C, vectorised over Arrow batches; null stays null."""
-    return pc.utf8_normalize(texts, form="NFC")
+    """Normal form C, batch by batch; null stays null. A text already in the form is only checked."""
+    form = unicodedata.normalize
+    return pa.array([None if t is None else form("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
 @F.pandas_udf(StringType())

@@ -1,4 +1,6 @@
 """Every registered query of the engine with the SQL that states the same result."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import corpora, scalars  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-"""Scans: driver tables, text directories, paired files, JSON articles and results."""
+"""Readers and writers of the file layouts the engine works with."""
