@@ -72,3 +72,11 @@ def test_distances_by_unit(spark):
         for u in units:
             assert row[u] == table(row[f"{u}_r"], row[f"{u}_h"])[-1][-1], (u, row)
     assert any(row.grapheme != row.codepoint for row in got)
+
+
+def test_many_distinct_tokens(spark):
+    words = [f"w{i}" for i in range(600)]
+    r = random.Random(2)
+    rows = [(" ".join(words), " ".join(w for w in words if r.random() < 0.9)), (" ".join(words[:254]), " ".join(words[1:255]))]
+    got = spark.createDataFrame(rows, "ref string, hyp string").select("ref", "hyp", d.word_distance(F.col("ref"), F.col("hyp")).alias("n")).collect()
+    assert [x.n for x in got] == [table(x.ref.split(), x.hyp.split())[-1][-1] for x in got]

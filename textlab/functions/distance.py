@@ -22,8 +22,10 @@ ALIGNED = ArrayType(StructType().add("ref", StringType()).add("hyp", StringType(
 
 
 def _as_text(tokens: Column, known: Column) -> Column:
-    point = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + FIRST), 8, "0")), "UTF-32")
-    return F.array_join(F.transform(tokens, point), "")
+    """Tokens numbered by `known`: as Latin-1 where 255 numbers do, else from U+10001 on."""
+    near = lambda t: F.char(F.array_position(known, t))
+    far = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + FIRST), 8, "0")), "UTF-32")
+    return F.array_join(F.when(F.size(known) < 256, F.transform(tokens, near)).otherwise(F.transform(tokens, far)), "")
 
 
 def token_distance(a: Column, b: Column) -> Column:

@@ -80,7 +80,7 @@ def select(pool: DataFrame, sources: list[str] | None = None, n_lines: int | Non
     rows = rows.withColumn("digest", seeded(F.col("line"), seed))
     if n_lines is not None:
         rows = rows.orderBy("digest", "source", "line_no").limit(n_lines)
-    return global_rank(rows, "digest", [F.col("source"), F.col("line_no")]).drop("digest")
+    return global_rank(rows, "digest", [F.col("source"), F.col("line_no")]).select("rank", "source", "line_no", "line")
 
 
 def provenance(selected: DataFrame, pool: DataFrame) -> DataFrame:

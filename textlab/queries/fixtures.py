@@ -134,11 +134,11 @@ REGISTERS = "registers(register, source) AS (VALUES " + ", ".join(f"('{r}', '{s}
 ROWS = 1_440
 PROJECTION = f"""proj AS (SELECT t.page, y.y, coalesce(e.ink, 0)::BIGINT AS ink FROM (SELECT DISTINCT event_type AS page FROM events) t
   CROSS JOIN (SELECT unnest(range(0, {ROWS}))::BIGINT AS y) y
-  LEFT JOIN (SELECT event_type, ((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) // 1800)::BIGINT AS y, count(*) AS ink FROM events GROUP BY ALL) e ON e.event_type = t.page AND e.y = y.y)"""
+  LEFT JOIN (SELECT event_type, floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 1800)::BIGINT AS y, count(*) AS ink FROM events GROUP BY ALL) e ON e.event_type = t.page AND e.y = y.y)"""
 
 
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("page"), F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - 1_704_067_200) / 1800).alias("y"))
     ink = e.groupBy("page", "y").agg(F.count("*").alias("ink"))
-    dense = ink.select("page").distinct().select("page", F.explode(F.sequence(F.lit(0), F.lit(ROWS - 1))).cast("long").alias("y"))
+    dense = ink.select("page").distinct().select("page", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ROWS - 1).cast("long"))).alias("y"))
     return dense.join(ink, ["page", "y"], "left").withColumn("ink", F.coalesce("ink", F.lit(0)))
