@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_left, insort
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +90,9 @@ NUMBERED = re.compile(r"(?i)(?:version|v|isbn|no|nr|order|invoice|ref|serial|id|
 
 
 def overlaps(a: tuple[int, int], spans: list[tuple[int, int]]) -> bool:
-    return any(a[0] < e and b < a[1] for b, e in spans)
+    """Whether a span meets one of `spans`, which are in order and apart."""
+    i = bisect_left(spans, (a[1],))
+    return i > 0 and spans[i - 1][1] > a[0]
 
 
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
@@ -223,9 +226,7 @@ def find(text: str | None, trees: BoostedTrees, cuts: tuple[float, ...]) -> tupl
         p = trees.probability(np.array([features(text, *c, base) for c in found]))
         for q, (kind, begin, end) in sorted(((-q, c) for q, c in zip(p.tolist(), found, strict=True)), key=lambda r: (r[0], r[1][1], -r[1][2])):
             if -q >= cuts[kind] and not any(overlaps((begin, end), v) for v in every.values()):
-                every[KINDS[kind]].append((begin, end))
-        for v in every.values():
-            v.sort()
+                insort(every[KINDS[kind]], (begin, end))
     return base, every
 
 

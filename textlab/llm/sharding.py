@@ -1,14 +1,16 @@
 """Sharding by vector bin packing.
 
 Rows are gathered into cells by a hash of their text, so that equal texts share a cell and so a shard; only a group of equal
-texts with more than 1/`HOT_PARTS` of a shard's bytes is cut, into parts of about that size, by a hash of its rows' ids. The cells' vectors (bytes, tokens, rows) are placed one after
-another, largest first, each in the shard where the dot product of the vector with the shard's residual capacity is highest.
+texts with more than 1/`HOT_PARTS` of a shard's bytes is cut, into parts of about that size, by a hash of its rows' ids. The
+cells' vectors (bytes, tokens, rows) are placed one after another, largest first, each in the shard where the dot product of
+the vector with the shard's residual capacity is highest. A group with more rows or bytes than `HOT_CELLS` ordinary cells is
+a cell of its own and is ranked in sub-cells of an ordinary cell's size, wherever it is placed.
 Law `bytes`: the shards' sizes are near equal (they differ by less than one cell's share, about 1 in `CELLS`/shards).
 
 The table is read twice at most by two narrow passes: one row of numbers a document is written to the shared folder, the
-rest works on those. Only the cells (at most MOST_CELLS and 2 * HOT_PARTS * shards parts of cut groups) reach
-the driver and are broadcast back. Slots are the rank within the cell plus the number of rows in the shard's earlier cells,
-so no task sees more than a cell.
+rest works on those. Only the cells and sub-cells (under 4 * MOST_CELLS rows) reach the driver and are broadcast
+back. Slots are the rank within the sub-cell plus the number of rows in the shard's earlier ones, so no task needs more than
+a sub-cell at a time.
 
 Defined results: a null text has no bytes (size 1) and the checksum of no bytes (0); repeated rows get slots of their own;
 empty tables give no rows; other columns are not read; ties are broken by doc_id, then by the row's hash.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import stash, table
 
-SHARDS, CELLS, MOST_CELLS, ROWS_A_CELL, HOT_PARTS = 8, 2_048, 65_536, 5_000, 4
+SHARDS, CELLS, MOST_CELLS, ROWS_A_CELL, HOT_PARTS, HOT_CELLS = 8, 2_048, 65_536, 5_000, 4, 4
 
 
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,23 +53,32 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     """key, size, tokens, text_crc32, shard and slot of each row."""
     rows = stash(measures(docs, key, text))
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
+    total = max(1, total or 0)
     cells = cells or min(MOST_CELLS, max(CELLS, math.ceil(n / ROWS_A_CELL)))
-    share = max(1.0, (total or 0) / (shards * HOT_PARTS))
     groups = rows.groupBy("text_hash").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    hot = groups.where((F.col("n") > 1) & (F.col("bytes") > share)).select("text_hash", F.ceil(F.col("bytes") / share).cast("int").alias("parts"))
-    ordinary = F.pmod(F.col("text_hash"), F.lit(cells))
-    part = F.pmod(F.xxhash64(F.lit(17), "key"), F.col("parts").cast("long"))
-    placed = rows.join(F.broadcast(hot), "text_hash", "left").withColumn("cell", F.when(F.col("parts").isNull(), ordinary).otherwise(F.lit(cells) + F.pmod(F.xxhash64("text_hash", part), F.lit(1 << 60)))).drop("parts")
-    found = placed.groupBy("cell").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()
-    found.sort(key=lambda r: r.cell)
-    shard = pack(np.array([[r.b, r.t, r.n] for r in found], float).reshape(-1, 3), shards)
+    weight = F.greatest(F.col("bytes") / total, F.col("n") / max(1, n))
+    hot = groups.where((F.col("n") > 1) & (weight > HOT_CELLS / cells))
+    hot = hot.select("text_hash", F.ceil(F.col("bytes") / (total / (shards * HOT_PARTS))).alias("parts"), F.ceil(weight * cells).alias("subs"))
+    sub = F.coalesce(F.pmod(F.xxhash64(F.lit(17), "key"), F.col("subs")), F.lit(0))
+    part = F.floor(F.col("sub") * F.col("parts") / F.col("subs"))
+    own = F.lit(cells) + F.pmod(F.xxhash64("text_hash", part), F.lit(1 << 60))
+    cell = F.when(F.col("subs").isNull(), F.pmod(F.col("text_hash"), F.lit(cells))).otherwise(own)
+    placed = rows.join(F.broadcast(hot), "text_hash", "left").withColumn("sub", sub).withColumn("cell", cell).drop("parts", "subs")
+    found = placed.groupBy("cell", "sub").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()
+    found.sort(key=lambda r: (r.cell, r.sub))
+    vectors: dict[int, list[int]] = {}
+    for r in found:
+        v = vectors.setdefault(r.cell, [0, 0, 0])
+        v[:] = v[0] + r.b, v[1] + r.t, v[2] + r.n
+    shard = dict(zip(vectors, pack(np.array(list(vectors.values()), float).reshape(-1, 3), shards).tolist(), strict=True))
     begin, plan = [0] * shards, []
-    for r, s in zip(found, shard.tolist(), strict=True):
-        plan.append((r.cell, s, begin[s]))
+    for r in found:
+        s = shard[r.cell]
+        plan.append((r.cell, r.sub, s, begin[s]))
         begin[s] += r.n
-    where = docs.sparkSession.createDataFrame(plan, "cell long, shard int, begin long")
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("key", "text_crc32", "size"))
-    return placed.join(F.broadcast(where), "cell").select(F.col("key").alias(key), "size", "tokens", "text_crc32", "shard", (F.col("begin") + rank - 1).alias("slot"))
+    where = docs.sparkSession.createDataFrame(plan, "cell long, sub long, shard int, begin long")
+    rank = F.row_number().over(Window.partitionBy("cell", "sub").orderBy("key", "text_crc32", "size"))
+    return placed.join(F.broadcast(where), ["cell", "sub"]).select(F.col("key").alias(key), "size", "tokens", "text_crc32", "shard", (F.col("begin") + rank - 1).alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
