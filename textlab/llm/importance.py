@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, labelled_sample, table
+from .common import arrow_map, labelled_sample, stash, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS, LENGTH, SAMPLE, KEEP_GOOD, NOISE, BINS = 1 << 14, 64, 2_500, 0.997, 0.05, 4_096
@@ -167,9 +167,8 @@ def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", noise: float
     scored = scored.withColumn("perturbed", noisy)
     if cut == float("-inf"):
         return scored.withColumn("kept", F.col("n_grams") > 0)
-    from .common import stash
-
-    small = stash(scored.where("n_grams > 0").select("log_weight", "perturbed"))
+    scored = stash(scored)
+    small = scored.where("n_grams > 0")
     k = small.where(F.col("log_weight") >= cut).count()
     return scored.withColumn("kept", (F.col("n_grams") > 0) & (F.col("perturbed") >= kth_largest(small, "perturbed", k)))
 
