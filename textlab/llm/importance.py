@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     rows = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     raw = bucket_counts(docs)
     good = rows.where("y = 1").select("doc_id")
-    target = bucket_counts(docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    target = bucket_counts(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
     if not raw.sum() or not target.sum():
         return np.zeros(BUCKETS), float("-inf")
     prior = (raw + 1) / (raw.sum() + BUCKETS)
