@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from textlab.queries import QUERIES
 from textlab.session import get_session
 
-HEADLINE = "normalize_text grapheme_tokens chunk_lines chunk_stream select_lines corpus_stats provenance_counts word_frequency syllabary_coverage font_coverage renderable_split font_assignment pair_integrity line_bands_merged score_pairs eval_aggregate alignment_ops confusions bootstrap_ci".split()
+HEADLINE = "normalize_text chunk_lines select_lines corpus_stats syllabary_coverage font_assignment pair_integrity line_bands_merged eval_aggregate alignment_ops".split()
 
 
 def main() -> None:
