@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import UNITS, alignment_errors
-from ..functions.text import NormProfile, bind, graphemes, normalize, rate
+from ..functions.text import NormProfile, graphemes, normalize, rate
 
 MOST_INDEXED = 10_000
 
@@ -106,8 +109,8 @@ def bootstrap(scored: DataFrame, key: str, units: tuple[str, ...] = ("grapheme",
         drawn = draws.join(F.broadcast(table), "i").withColumn("w", F.lit(1))
     else:
         u = uniform(seed, F.col("rep"), F.col(key)) / float(1 << 32)
-        weight = lambda x: F.aggregate(F.array(*[F.lit(p) for p in POISSON]), F.lit(0), lambda acc, p: acc + F.when(x >= p, 1).otherwise(0))
-        drawn = rows.withColumn("rep", reps).withColumn("w", bind(u, weight))
+        weight = reduce(add, [(F.col("u") >= p).cast("int") for p in POISSON])
+        drawn = rows.withColumn("rep", reps).withColumn("u", u).withColumn("w", weight)
     replicates = drawn.groupBy("rep").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in sums])
     out = None
     for u in units:

@@ -11,6 +11,8 @@ from . import fixtures as X
 from .registry import query
 
 BOOT, FLOOR = 200, 0.01
+#: What the reference records of a variant: its resamples, and its most frequent confusions of each kind.
+WHOLE_BOOT, RECORDED = 2_000, {"substitution": 30, "deletion": 15, "insertion": 15}
 
 
 def scored(spark, d):
@@ -142,6 +144,28 @@ def variant_metrics(spark, d):
     return one.unionByName(both)
 
 
+@query(f"WITH {_sql_boot(WHOLE_BOOT)} SELECT * FROM ends")
+def bootstrap_ci_whole(spark, d):
+    """Percentile intervals over the reference's number of resamples of all lines, by weights."""
+    return evaluate.bootstrap(scored(spark, d), "name", n_boot=WHOLE_BOOT, method="poisson")
+
+
+@query()
+def variant_record(spark, d):
+    """All that a sweep records of a variant: rates, lines and interval ends in rows of a metric alone, then the most frequent
+    confusions of the same pairs, by kind, with their counts. SQL has no alignment of graphemes at this size."""
+    s = scored(spark, d)
+    agg, ends = evaluate.aggregate(s), evaluate.bootstrap(s, "name", n_boot=WHOLE_BOOT, method="poisson")
+    names = [c for c in agg.columns if c != "profile"]
+    one = agg.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])))
+    both = ends.select(F.inline(F.array(*[F.struct(F.concat("metric", F.lit(f"_{c}")).alias("metric"), F.col(c).alias("value")) for c in ("lo", "hi")])))
+    clean = X.pairs(spark, d).select(T.normalize(F.col("ref")).alias("ref"), T.normalize(F.col("hyp")).alias("hyp"))
+    top = evaluate.top_per_kind(evaluate.confusions(clean), RECORDED)
+    bare = F.lit(None).cast("string")
+    rates = one.unionByName(both).select("metric", bare.alias("ref"), bare.alias("hyp"), "value")
+    return rates.unionByName(top.select(F.col("kind").alias("metric"), "ref", "hyp", F.col("n").cast("double").alias("value")))
+
+
 _NOISY = f"{X.ALL_LINES},\npairs AS (SELECT source || ':' || line_no::VARCHAR AS name, replace(replace(line, 'ம', 'ம' || chr(8204)), ' ', ' ' || chr(160)) AS ref, {X.sql_corrupted('line')} AS hyp FROM lines)"
 
 
