@@ -4,9 +4,11 @@ Many voters look at a text: groups of a public lexicon, the same lexicon after u
 (insults addressed at a person, shouted insults, several insults close together), words and word beginnings mined from labelled rows, and two
 voters for the absence of any sign. A generative label model (expectation-maximisation over a class and conditionally
 independent votes, discounted by the voters' residual correlations) turns votes into posterior labels; a linear classifier
-over voters and telling words is trained on those posteriors and calibrated on the labelled rows.
+over voters and telling words is trained on those posteriors alone and calibrated on labelled rows.
 
-Everything is learned from a bounded hash sample (`LABELLED` rows a class, `UNLABELLED` others of the learning fold).
+Label model and classifier see every row of the learning fold: rows with the same votes and telling words are counted in
+Spark, and the driver holds the distinct ones. Labels are one more voter of the label model, give its prior (their share over
+all labelled rows of the fold), and serve to mine words and to calibrate; mining and calibration read a bounded hash sample of `LABELLED` labelled rows a class.
 
 Defined results: null and empty texts are scored as texts without any sign; repeated rows score alike; long texts are read
 whole; without labels of both classes (there is nothing to fit or calibrate on) the fixed voters have equal weights; other
@@ -22,9 +24,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_sample, crc_fold, labelled_sample, table
+from .common import arrow_map, crc_fold, labelled_sample, table
 
-LABELLED, UNLABELLED, MINED, MINED_VOTERS, THRESHOLD = 2_000, 1_000, 400, 12, 0.7
+LABELLED, MINED, MINED_VOTERS, CLOSE, THRESHOLD = 2_000, 400, 12, 8, 0.7
 PREFIXES = (4, 5, 6, 7)
 LEXICON = {
     "intelligence": "idiot idiots idiotic stupid stupidity moron morons moronic imbecile imbeciles dumb dumbass dimwit halfwit dunce cretin fool foolish brainless",
@@ -52,7 +54,8 @@ def fixed_votes(text: str, tokens: set[str]) -> list[int]:
     core = tokens & CORE
     near = False
     if core:
-        near = len(core) > 1
+        at = [i for i, t in enumerate(TOKEN.findall(text.lower())) if t in CORE]
+        near = any(b - a <= CLOSE for a, b in zip(at, at[1:], strict=False))
     shout = any(w.upper() in text for w in core)
     leet = any(w.lower().translate(UNDO) in GROUP for w in LEET.findall(text)) if re.search(r"\w[0134@$57]|[0134@$57]\w", text) else False
     votes += [int(bool(core)), int(near), int(shout), int(leet), int(bool(core) and bool(ADDRESSED.search(text)))]
@@ -63,16 +66,21 @@ def tokens_of(text: str | None) -> set[str]:
     return set(TOKEN.findall(text.lower())) if text else set()
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of the toxic class for each row of votes, and each voter's weight after the correlation discount."""
-    n, m = votes.shape
-    values = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
+def label_model(votes: np.ndarray, prior: float, rounds: int = 30, times: np.ndarray | None = None, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of the toxic class for each row of votes, and each voter's weight after the correlation discount. A row
+    counts as often as `times` says. `label`, where given, is one more voter, from whose votes the iteration starts."""
+    times = np.ones(len(votes)) if times is None else times
     score = (votes == 1).sum(1) - 0.25 * (votes == -1).sum(1)
+    if label is not None:
+        score = np.where(label == 0, score, label)
+        votes = np.column_stack([votes, label])
+    n, m = times.sum(), votes.shape[1]
+    values = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
     q = np.clip(np.where(score > 0, 0.9, 0.05), 0.01, 0.99)
     weight = np.ones(m)
     for _ in range(rounds):
         rates = []
-        for w in (q, 1 - q):
+        for w in (q * times, (1 - q) * times):
             counts = np.einsum("n,nmv->mv", w, values) + 0.5
             rates.append(counts / counts.sum(1, keepdims=True))
         log = np.log(rates[0]) - np.log(rates[1])
@@ -80,10 +88,12 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
         part = np.einsum("nmv,mv->nm", values, log)
         expected = q[:, None] * np.einsum("mv,v->m", rates[0], [-1, 0, 1]) + (1 - q)[:, None] * np.einsum("mv,v->m", rates[1], [-1, 0, 1])
         rest = votes - expected
-        spread = np.sqrt((rest**2).mean(0)) + 1e-6
-        related = np.abs(rest.T @ rest / n) / np.outer(spread, spread)
+        spread = np.sqrt(times @ rest**2 / n) + 1e-6
+        related = np.abs(rest.T @ (rest * times[:, None]) / n) / np.outer(spread, spread)
         np.fill_diagonal(related, 0)
         weight = 1 / (1 + np.where(related > 0.1, related, 0).sum(1))
+        if label is not None:
+            weight[-1] = 1  # what voters share with the label is no reason to doubt the label
         z = np.log(prior / (1 - prior)) + part @ weight
         q = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-4, 1 - 1e-4)
     return q, weight
@@ -166,29 +176,60 @@ def mined(texts: list[set[str]], y: list[int]) -> list[str]:
     return [names[i] for i in chosen]
 
 
+def patterns(docs: DataFrame, labels: DataFrame, telling: list[str]) -> DataFrame:
+    """(votes, words, label, n): how many rows have each combination of fixed votes, telling words (numbers in `telling`) and
+    label (1 toxic, -1 not, 0 none). Labels join the votes, so no text is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(telling)})
+
+    def make():
+        number = shared.value
+
+        def fn(batch):
+            found = [pattern(t, number) for t in batch.column("text").to_pylist()]
+            yield {"doc_id": batch.column("doc_id").to_pylist(), "votes": [v for v, _ in found], "words": [w for _, w in found]}
+
+        return fn
+
+    known_labels = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg((2 * F.max("toxic").cast("int") - 1).alias("label"))
+    voted = arrow_map(docs.select("doc_id", "text"), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, votes array<int>, words array<int>")
+    return voted.join(known_labels, "doc_id", "left").groupBy("votes", "words", F.coalesce("label", F.lit(0)).alias("label")).agg(F.count("*").alias("n"))
+
+
+def pattern(text: str | None, number: dict[str, int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    tokens = tokens_of(text)
+    return tuple(fixed_votes(text or "", tokens)), tuple(sorted(number[w] for w in known(tokens, number)))
+
+
+def features(votes: list, words: list, n_words: int) -> np.ndarray:
+    """One row a pattern: its fixed votes, its telling words, and 1."""
+    x = np.zeros((len(votes), N_FIXED + n_words + 1))
+    x[:, :N_FIXED], x[:, -1] = votes, 1
+    for row, w in zip(x, words, strict=True):
+        row[N_FIXED + np.array(w, int)] = 1
+    return x
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     """Learns from documents and labels for which `learn` (a condition on doc_id) holds."""
     rows = sorted(((r.text or "", r.y) for r in labelled_sample(docs, labels, "toxic", LABELLED, keep=learn).collect()), key=lambda r: (r[1], r[0]))
-    extra = sorted(r.text for r in bounded_sample(docs.where(learn & F.col("text").isNotNull()), UNLABELLED, "doc_id", seed=9).select("text").collect())
-    texts, y = [r[0] for r in rows] + extra, np.array([r[1] for r in rows] + [-1] * len(extra))
+    texts, y = [r[0] for r in rows], np.array([r[1] for r in rows])
     if not {0, 1} <= set(y.tolist()):
         return Model(np.r_[np.full(N_FIXED - 2, 1.0), 0.5, 1.5], {}, -1.0)
-    tokens = [tokens_of(t) for t in texts]
-    telling = mined(tokens[: len(rows)], y[: len(rows)].tolist())
-    votes = np.array([fixed_votes(t, w) for t, w in zip(texts, tokens, strict=True)], float)
-    groups = [set(telling[k::MINED_VOTERS]) for k in range(MINED_VOTERS)]
-    tokens = [known(t, dict.fromkeys(telling, 0.0)) for t in tokens]
-    more = np.array([[int(bool(w & g)) for g in groups] + [0 if not telling or w else -1] for w in tokens], float)
-    labelled = y >= 0
-    q, _ = label_model(np.hstack([votes, more]), float(np.clip((y == 1).sum() / labelled.sum(), 0.02, 0.6)))
-    x = np.hstack([votes, np.array([[float(t in w) for t in telling] for w in tokens]).reshape(len(texts), len(telling)), np.ones((len(texts), 1))])
-    soft = np.where(y >= 0, 0.3 * q + 0.7 * y, q)
-    w = logistic(x, soft, np.where(labelled, 2.0, 1.0))
-    z = x @ w
+    telling = mined([tokens_of(t) for t in texts], y.tolist())
+    prior = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y")).agg(F.avg("y")).first()[0]
+    found = sorted(map(tuple, patterns(docs.where(learn), labels, telling).collect()))
+    label, times = (np.array([r[k] for r in found], float) for k in (2, 3))
+    x = features([r[0] for r in found], [r[1] for r in found], len(telling))
+    words = x[:, N_FIXED:-1]
+    more = [words[:, k::MINED_VOTERS].any(1) for k in range(MINED_VOTERS)] + [-1.0 * (words.sum(1) == 0) if telling else np.zeros(len(x))]
+    q, _ = label_model(np.column_stack([x[:, :N_FIXED], *more]), float(np.clip(prior, 0.02, 0.6)), times=times, label=label)
+    w = logistic(x, q, times)
+    number = {t: i for i, t in enumerate(telling)}
+    z = features(*map(list, zip(*(pattern(t, number) for t in texts), strict=True)), len(telling)) @ w
     # the scale is set on labelled rows, so that 0.7 separates the classes with a margin on both sides
     high, low = np.median(z[y == 1]), np.median(z[y == 0])
-    cut = max(((np.mean(z[y == 1] >= c) - 5 * np.mean(z[y == 0] >= c)), c) for c in np.unique(np.r_[z[labelled], (high + low) / 2]))[1]
-    below = z[labelled & (z < cut)]
+    cut = max(((np.mean(z[y == 1] >= c) - 5 * np.mean(z[y == 0] >= c)), c) for c in np.unique(np.r_[z, (high + low) / 2]))[1]
+    below = z[z < cut]
     middle = (cut + (below.max() if len(below) else cut)) / 2
     scale = 6 / max(1e-6, high - low)
     w = w * scale
