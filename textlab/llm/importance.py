@@ -5,8 +5,8 @@ as good, the raw model from all documents; both are plain bucket counts, summed
 the mean log ratio of the two models over its n-grams, carried to a text of `LENGTH` n-grams, so that long and short texts
 compare. Gumbel noise, seeded by the document's id and small against that scale, is added, and the top k are selected.
 
-k is the number of documents whose weight reaches a cut calibrated on labelled rows (a bounded hash sample): the cut that
-removes most of quality 0 while it keeps `KEEP_GOOD` of quality 1. The k-th largest value is found by counting a histogram,
+k is the number of documents whose weight reaches a cut calibrated on all labelled rows: the cut that removes most of quality
+0 while it keeps `KEEP_GOOD` of quality 1. The k-th largest value is found by counting a histogram,
 refined within one bin, so the selection is exact and nothing is gathered but the bins; ties at the cut are all kept.
 
 Defined results: null and empty texts have no n-grams and are rejected; repeated rows are kept or rejected alike; without
@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, labelled_sample, stash, table
+from .common import arrow_map, stash, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-BUCKETS, LENGTH, SAMPLE, KEEP_GOOD, NOISE, BINS = 1 << 14, 64, 2_500, 0.997, 0.05, 4_096
+BUCKETS, LENGTH, KEEP_GOOD, NOISE, BINS = 1 << 14, 64, 0.997, 0.05, 4_096
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,37 +138,51 @@ def gumbel(key: str, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """The log ratio of target and raw by bucket, and the cut on the weight."""
-    rows = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
+def judged(labels: DataFrame) -> DataFrame:
+    """(doc_id, y): the quality of each labelled document."""
+    return labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
+    """The log ratio of target and raw by bucket; none without words in labelled good documents."""
     raw = bucket_counts(docs)
-    good = rows.where("y = 1").select("doc_id")
+    good = judged(labels).where("y = 1").select("doc_id")
     target = bucket_counts(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
     if not raw.sum() or not target.sum():
-        return np.zeros(BUCKETS), float("-inf")
+        return None
     prior = (raw + 1) / (raw.sum() + BUCKETS)
-    ratio = np.log((target + 20 * prior) / (target.sum() + 20)) - np.log(prior)
-    sample = labelled_sample(docs, labels, "quality", SAMPLE).select(F.col("y").alias("doc_id"), "text")
-    got = weights(sample, ratio).where("n_grams > 0").collect()
-    y, w = np.array([r.doc_id for r in got]), np.array([r.log_weight for r in got])
-    if not (y == 0).any() or not (y == 1).any():
-        return ratio, float("-inf")
-    most = np.quantile(w[y == 1], 1 - KEEP_GOOD)
-    bad = w[(y == 0) & (w < most)]
-    return ratio, float((most + bad.max()) / 2) if len(bad) else float(most)
+    return np.log((target + 20 * prior) / (target.sum() + 20)) - np.log(prior)
+
+
+def calibrate(scored: DataFrame, labels: DataFrame) -> float:
+    """The cut on log_weight from all labelled rows of `scored` (doc_id, log_weight): midway between the quantile of the good
+    ones and the largest bad weight below it. Weights join the labels, no text does."""
+    rows = stash(scored.join(judged(labels), "doc_id").select("y", "log_weight"))
+    good = rows.where("y = 1")
+    n = good.count()
+    if not n or rows.where("y = 0").isEmpty():
+        return float("-inf")
+    at = (1 - KEEP_GOOD) * (n - 1)
+    low, high = (kth_largest(good, "log_weight", n - k) for k in (int(at), min(int(at) + 1, n - 1)))
+    most = low + (high - low) * (at - int(at))
+    bad = rows.where((F.col("y") == 0) & (F.col("log_weight") < most)).agg(F.max("log_weight")).first()[0]
+    return most if bad is None else (most + bad) / 2
 
 
 def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", noise: float = NOISE, seed: int = 11) -> DataFrame:
     """The key, n_grams, log_weight, perturbed (with Gumbel noise) and kept of each document."""
-    ratio, cut = fit(docs, labels)
+    ratio = fit(docs, labels)
     plain = docs if key == "doc_id" else docs.withColumn("doc_id", F.col(f"{key}.doc_id"))
-    scored = weights(plain, ratio, key)
-    noisy = F.col("log_weight") + noise * gumbel("doc_id" if key == "doc_id" else f"{key}.doc_id", seed)
-    scored = scored.withColumn("perturbed", noisy)
-    if cut == float("-inf"):
+    scored = weights(plain, np.zeros(BUCKETS) if ratio is None else ratio, key)
+    own = "doc_id" if key == "doc_id" else f"{key}.doc_id"
+    scored = scored.withColumn("perturbed", F.col("log_weight") + noise * gumbel(own, seed))
+    if ratio is None:
         return scored.withColumn("kept", F.col("n_grams") > 0)
     scored = stash(scored)
     small = scored.where("n_grams > 0")
+    cut = calibrate(small.select(F.col(own).alias("doc_id"), "log_weight"), labels)
+    if cut == float("-inf"):
+        return scored.withColumn("kept", F.col("n_grams") > 0)
     k = small.where(F.col("log_weight") >= cut).count()
     return scored.withColumn("kept", (F.col("n_grams") > 0) & (F.col("perturbed") >= kth_largest(small, "perturbed", k)))
 
