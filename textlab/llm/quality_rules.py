@@ -3,8 +3,8 @@
 Exact rule counts of a text (words, symbols, repeated lines, words in repeated 3-word windows) and rates derived from them
 form a small feature vector. An isolation forest grown on a bounded hash sample of the documents gives each document the
 mean path length over random splits; short paths mean anomalous. Only rates that tell the labelled classes apart are split
-on (at least `TELLING` of quality 0 lies outside nearly all of quality 1); without labels all are. The cut is calibrated on a bounded sample of labelled rows:
-it removes as much of quality 0 as it can while it keeps at least `KEEP_GOOD` of quality 1.
+on (at least `TELLING` of quality 0 lies outside nearly all of quality 1); without labels all are. These rates are chosen on a bounded
+sample of labelled rows; the cut is calibrated on the scores of all of them: it removes as much of quality 0 as it can while it keeps at least `KEEP_GOOD` of quality 1.
 
 Defined results: null and empty texts have no words and fail the base rule; repeated rows are judged alike; without labels
 of both classes only the base rule removes; without documents the result is empty; other columns are ignored by the
@@ -17,7 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_sample, labelled_sample, table
+from .common import arrow_map, bounded_sample, labelled_sample, stash, table
+from .importance import judged, kth_largest
 from .kernels import WordHashes, grams
 
 SYMBOLS = "#*$%&|<>"
@@ -120,42 +121,56 @@ def _collect(stats: DataFrame) -> np.ndarray:
     return np.array([r.features for r in rows], float).reshape(len(rows), N_FEATURES)
 
 
-def fit(docs: DataFrame, labels: DataFrame | None) -> tuple[IsolationForest | None, float]:
-    """The forest and the score from which a document is rejected."""
+def fit(docs: DataFrame, labels: DataFrame | None) -> tuple[IsolationForest | None, bool]:
+    """The forest, and whether there are labels of both classes to calibrate it."""
     rows = _collect(rule_statistics(bounded_sample(docs.where(F.col("text").isNotNull()), SAMPLE, "doc_id")))
     if not len(rows):
-        return None, 2.0
+        return None, False
     rows = rows[np.lexsort(rows.T)]
     if labels is None:
-        return IsolationForest(rows), 2.0
+        return IsolationForest(rows), False
     found = labelled_sample(docs, labels, "quality", LABELLED).select(F.struct("doc_id", "y").alias("key"), "text")
     got = rule_statistics(found, key="key").select(F.col("key.y").alias("y"), "features").collect()
     good, bad = (np.array([r.features for r in got if r.y == y], float).reshape(-1, N_FEATURES) for y in (1, 0))
     if not len(good) or not len(bad):
-        return IsolationForest(rows), 2.0
+        return IsolationForest(rows), False
     low, high = np.quantile(good, [(1 - KEEP_GOOD) / 2, (1 + KEEP_GOOD) / 2], axis=0)
     telling = np.flatnonzero(((bad < low) | (bad > high)).mean(0) >= TELLING).tolist()
-    forest = IsolationForest(rows, columns=telling or None)
-    return forest, float(np.quantile(forest.score(good), KEEP_GOOD)) + 1e-9
+    return IsolationForest(rows, columns=telling or None), True
+
+
+def calibrate(scored: DataFrame, labels: DataFrame) -> float:
+    """The score from which a document is rejected: just over the KEEP_GOOD quantile of all good rows of `scored` (doc_id,
+    anomaly). Scores join the labels, no text does."""
+    good = stash(scored.join(judged(labels).where("y = 1"), "doc_id").select("anomaly"))
+    n = good.count()
+    at = KEEP_GOOD * (n - 1)
+    low, high = (kth_largest(good, "anomaly", n - k) for k in (int(at), min(int(at) + 1, n - 1)))
+    return low + (high - low) * (at - int(at)) + 1e-9
 
 
 def judge(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id") -> DataFrame:
     """The key, the five counts, anomaly (the forest's score), base_failed and kept of each document."""
-    forest, cut = fit(docs, labels)
+    forest, labelled = fit(docs, labels)
     model = docs.sparkSession.sparkContext.broadcast(forest)
-    stats = rule_statistics(docs, key=key)
+    whole = docs.select(F.struct(F.col(key).alias("key"), "doc_id").alias("key"), "text")
+    stats = rule_statistics(whole, key="key")
 
     def make():
         def fn(batch):
             rows = np.array(batch.column("features").to_pylist(), float).reshape(-1, N_FEATURES)
             score = model.value.score(rows) if model.value else np.zeros(len(rows))
-            yield {c: batch.column(c).to_pylist() for c in (key, *COUNTS)} | {"anomaly": score.tolist()}
+            yield {c: batch.column(c).to_pylist() for c in ("key", *COUNTS)} | {"anomaly": score.tolist()}
 
         return fn
 
-    kind = docs.schema[key].dataType.simpleString()
+    kind = whole.schema["key"].dataType.simpleString()
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return arrow_map(stats, make, f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", anomaly double").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") < cut))
+    scored = arrow_map(stats, make, f"key {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", anomaly double")
+    scored = stash(scored) if labelled else scored
+    cut = calibrate(scored.select("key.doc_id", "anomaly"), labels) if labelled else 2.0
+    out = scored.select(F.col("key.key").alias(key), *COUNTS, "anomaly")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") < cut))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
