@@ -52,3 +52,9 @@ def test_variant_record_holds_scores_intervals_and_top_confusions(spark, monkeyp
         assert sorted(((r.metric, r.ref, r.hyp), r.value) for r in got if r.metric == kind) == sorted(best) if kind == "substitution" else {(r.ref, r.hyp): r.value for r in got if r.metric == kind} == {x[0][1:]: x[1] for x in best}
     names = {r.metric for r in got if r.ref is None and r.hyp is None}
     assert {"lines", "cer_grapheme_micro", "wer_micro", "grapheme_lo", "grapheme_hi", "word_lo", "word_hi"} <= names
+
+
+def test_unset_method_is_poisson_at_every_size(spark):
+    scored = spark.createDataFrame([(f"p{i}", i % 5, 20, i % 2, 4) for i in range(60)], "name string, grapheme_edits int, grapheme_ref int, word_edits int, word_ref int")
+    ends = [sorted(evaluate.bootstrap(scored, "name", n_boot=50, **k).collect()) for k in ({}, {"method": "poisson"}, {"method": "index"})]
+    assert ends[0] == ends[1] != ends[2]

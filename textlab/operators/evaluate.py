@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.distance import UNITS, alignment_errors
 from ..functions.text import NormProfile, graphemes, normalize, rate
 
-MOST_INDEXED = 10_000
-
 
 class NoPairsError(ValueError):
     pass
@@ -87,17 +85,15 @@ def _interval(rates: DataFrame, n_boot: int, alpha: float, name: str, n: DataFra
     return picked.select(F.lit(name).alias("metric"), F.when(two, F.get("r", F.lit(lo))).alias("lo"), F.when(two, F.get("r", F.lit(hi))).alias("hi"))
 
 
-def bootstrap(scored: DataFrame, key: str, units: tuple[str, ...] = ("grapheme", "word"), n_boot: int = 2000, alpha: float = 0.05, seed: int = 0, method: str | None = None) -> DataFrame:
+def bootstrap(scored: DataFrame, key: str, units: tuple[str, ...] = ("grapheme", "word"), n_boot: int = 2000, alpha: float = 0.05, seed: int = 0, method: str = "poisson") -> DataFrame:
     """(metric, lo, hi): percentile interval of the micro rate over resampled rows; null ends for fewer than two rows.
 
-    `index` draws n rows with replacement a replicate from a table of at most MOST_INDEXED rows, broadcast. `poisson` gives
+    `index` draws n rows with replacement a replicate from the table, broadcast: for small tables. `poisson` gives
     each row a Poisson(1) weight a replicate: rows stay where they are, weights come from digests, and tasks send one
-    partial sum a replicate, at any number of rows. Unset, the number of rows decides. All metrics share the resamples."""
+    partial sum a replicate, at any number of rows; it is the default at every size. All metrics share the resamples."""
     sums = [f"{u}_{x}" for u in units for x in ("edits", "ref")]
     rows = scored.select(key, *sums)
     n = rows.agg(F.count("*").alias("n"))
-    if method is None:
-        method = "index" if rows.limit(MOST_INDEXED + 1).count() <= MOST_INDEXED else "poisson"
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
     if method == "index":
         count = n.first().n
