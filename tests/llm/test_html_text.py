@@ -46,3 +46,9 @@ def test_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "k"), (2, None, "", "k"), (3, "u", "<nav><a href='/'>x</a></nav>", "k"), (3, "u", "<nav><a href='/'>x</a></nav>", "k")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in h.extract(pages).orderBy("page_id").collect()] == [(1, "u", "", 0), (2, None, "", 0), (3, "u", "", 0), (3, "u", "", 0)]
     assert h.extract(spark.createDataFrame([], pages.schema)).count() == 0
+
+
+def test_formulas_figures_and_noscript_are_judged_not_skipped():
+    page = "<article><p>Before <math><mi>x</mi><mo>=</mo></math> after.</p><svg><path d='M0'/><text>a figure</text></svg><noscript><p>plain</p></noscript></article>"
+    text = "\n".join(b.text for b in h.blocks(page))
+    assert "x= after." in text.replace(" =", "=") and "a figure" in text and "plain" in text
