@@ -18,13 +18,19 @@ def whole(text):
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t▁aeéß<s>/�,.0 😀க"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_chunks_equal_the_library(text):
-    assert TABLE.run(text) == whole(text)
+    assert TABLE.run([text]) == [whole(text)]
 
 
 def test_table_stays_small_and_long_chunks_pass():
     text = "x" * 30_000 + " " + " ".join(f"w{i}" for i in range(500)) + "  end  "
-    assert TABLE.run(text) == whole(text)
-    assert len(TABLE.seen) <= TABLE.most
+    assert TABLE.run([text]) == [whole(text)]
+    assert len(TABLE.ids) <= TABLE.most
+
+
+def test_slices_share_the_table_and_repeat():
+    texts = ["the cat", None, "the  cat ", "▁▁ the", "the cat", "", "a\u00a0b \x00"]
+    assert TABLE.run(texts) == [whole(t or "") for t in texts]
+    assert TABLE.run(texts[::-1]) == [whole(t or "") for t in texts[::-1]]
 
 
 def test_operator_keeps_columns_and_defines_edges(spark):

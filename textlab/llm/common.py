@@ -2,55 +2,135 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class NoSharedFolderError(RuntimeError):
+    pass
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; only where unset (tests), a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder. Only a local
+    session may do without: it gets a folder of its own. On a cluster a missing folder is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="textlab-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise NoSharedFolderError("spark.checkpoint.dir is not set, and executors share no other folder")
+        found = f"file://{tempfile.mkdtemp(prefix='textlab-')}"
         spark.sparkContext.setCheckpointDir(found)
-        found = f"file://{found}"
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+_stashed: list[str] = []
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes `df` as a compressed table in the shared folder and reads it back. A lost executor costs a
-    re-read, not a recomputation. The tables stay until the folder is cleaned, as checkpoints do."""
+    re-read, not a recomputation. Tables stay until release() or until the folder is cleaned, as checkpoints do."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textlab/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stashed.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
-    """mapInArrow where `make()` builds the batch function once a task and that yields dicts of column lists."""
+def release(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Deletes the stashed tables from number `since` on, but for the last `keep`: for jobs whose result is written."""
+    gone = _stashed[since : len(_stashed) - keep]
+    del _stashed[since : len(_stashed) - keep]
+    for path in gone:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stashed() -> int:
+    return len(_stashed)
+
+
+SLICE_BYTES, SLICE_ROWS = 4_000_000, 2_000
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The parts of a batch, in order, of about SLICE_BYTES bytes of text and SLICE_ROWS rows at most; a longer row is a part
+    of its own. What becomes Python objects at once is bounded by this, whatever Spark's batches hold."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = 0
+    ends = np.cumsum(size)
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, min(begin + SLICE_ROWS, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def _fields(schema: str | StructType) -> tuple[StructType, pa.Schema]:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else StructType([StructField(f.name, f.dataType) for f in schema])
+    return fields, to_arrow_schema(fields)
+
+
+def _column(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str | StructType) -> DataFrame:
+    """mapInArrow where `make()` builds the batch function once a task and that yields dicts of columns (lists or Arrow
+    arrays) for each of the slices() of a batch."""
+    fields, arrow = _fields(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            if batch.num_rows:
-                for out in fn(batch):
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            for part in slices(batch):
+                for out in fn(part):
+                    yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, fields)
+
+
+def text_map(docs: DataFrame, keep: list[str], make: Callable[[], Callable[[list[str | None]], dict]], results: str, text: str = "text") -> DataFrame:
+    """The columns `keep` of `docs`, passed on as Arrow arrays, and the columns `results` (of names of their own) that a
+    function of a list of texts gives. Where it gives "take", only these rows (by number) go on, and the results are theirs."""
+    fields, arrow = _fields(StructType([docs.schema[c] for c in keep] + list(StructType.fromDDL(results))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            for part in slices(batch):
+                out = fn(part.column(len(keep)).to_pylist())
+                rows = part if "take" not in out else part.take(pa.array(out["take"], pa.int64()))
+                made = [_column(out[f.name], f.type) for f in list(arrow)[len(keep) :]]
+                yield pa.RecordBatch.from_arrays([rows.column(i).cast(arrow.field(i).type) for i in range(len(keep))] + made, schema=arrow)
+
+    return docs.select(*[docs[c] for c in keep], docs[text].alias("__text")).mapInArrow(run, fields)
+
+
+def with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs`, with the texts in __cut; n_chars, where there is one, is the text's length (that of a null text
+    stays)."""
+    new = {"text": F.col("__cut")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("__cut"), "n_chars").cast(docs.schema["n_chars"].dataType)
+    return changed.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def crc_fold(column: str, n: int) -> Column:

@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding by a distinct-chunk table.
 
 Where no piece of a model holds a whitespace marker after another symbol, no merge can cross the start of a run of markers.
-A text then falls apart into chunks (a run of markers and what follows it) that are segmented independently: each task
-segments every distinct chunk once, with the library itself, and joins the ids back by position. Decoding works likewise.
-A model whose pieces do cross markers is refused at construction.
+A text then falls apart into chunks (a run of markers and what follows it) that are segmented independently. The distinct
+chunks of a slice of texts that the table lacks are segmented, and decoded, by the library in one call; ids are joined back
+by position. The table belongs to the Python worker and outlives its tasks, so a chunk is segmented again only by another
+worker or after it was forgotten; recurring chunks stay. Decoding joins the chunks' own decodings by position: most chunks
+decode to themselves, the table names the others. A model whose pieces do cross markers is refused at construction.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are encoded alike; very long
 chunks (no space for a long stretch) are encoded but not remembered, so memory stays bounded; other columns are kept
@@ -12,12 +14,15 @@ chunks (no space for a long stretch) are encoded but not remembered, so memory s
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, text_map
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -31,9 +36,10 @@ def default_model() -> str:
 
 
 class ChunkCodec:
-    """Encodes and decodes texts with a table of distinct chunks."""
+    """Encodes and decodes texts with a table of distinct chunks: at most `most` chunks of at most `longest` characters stay
+    between calls."""
 
-    def __init__(self, model: str, most: int = 200_000, longest: int = 48):
+    def __init__(self, model: str, most: int = 300_000, longest: int = 48):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -42,78 +48,83 @@ class ChunkCodec:
             raise ValueError("a piece of this model crosses a whitespace marker")
         if [self.sp.encode(x) for x in ("a  b", " a")] != [self.sp.encode(x) for x in (f"a{MARK}{MARK}b", f"{MARK}a")]:
             raise ValueError("this model does not keep white space as it is")
-        self.most, self.longest, self.seen, self.old = most, longest, {}, {}
+        self.most, self.longest = most, longest
         self.mark = self.sp.piece_to_id(MARK)
-        self.names = [str(i) for i in range(len(pieces))]
-        plain = (not (self.sp.is_byte(i) or self.sp.is_unknown(i) or self.sp.is_control(i)) for i in range(len(pieces)))
-        self.surface = [p.replace(MARK, " ") if ok else None for p, ok in zip(pieces, plain, strict=True)]
-
-    def _segment(self, chunks: list[str], table: dict) -> None:
-        """Segments chunks; an entry is (number of ids, ids as text, decoded text after another chunk)."""
-        names, surface = self.names, self.surface
-        for c, ids in zip(chunks, self.sp.encode([c[1:] for c in chunks]), strict=True):
-            ids = ids or [self.mark]  # a marker alone: the text ends with one space
-            parts = [surface[i] for i in ids]
-            text = f" {self.sp.decode(ids)}" if None in parts else "".join(parts)
-            table[c] = (len(ids), ",".join([names[i] for i in ids]), text)
-
-    def run(self, text: str | None) -> tuple[int, str, str]:
-        """The number of ids, the ids as decimal text joined by commas, and the decoded text."""
-        if not text:
-            return 0, "", ""
-        chunks = CHUNK.findall(MARK + text.replace(" ", MARK))
-        entries = list(map(self.seen.get, chunks))
-        if None in entries:
-            entries = self._completed(chunks, entries)
-        n, ids, texts = zip(*entries, strict=True)
-        return sum(n), ",".join(ids), "".join(texts)[1:]
-
-    def _completed(self, chunks: list[str], entries: list) -> list:
-        """Looks absent chunks up in the older half of the table or segments them. A full table becomes the older half, so
-        chunks that recur stay and those that do not are dropped."""
-        found = {c: self.old.get(c) for c, e in zip(chunks, entries, strict=True) if e is None}
-        if new := [c for c, e in found.items() if e is None]:
-            self._segment(new, found)
-        if len(self.seen) + len(found) > self.most:
-            self.old, self.seen = self.seen, {}
-        self.seen.update((c, e) for c, e in found.items() if len(c) <= self.longest)
-        if len(self.seen) > self.most:
-            self.seen = {}
-        return [found[c] if e is None else e for c, e in zip(chunks, entries, strict=True)]
+        self.names = [f",{i}" for i in range(len(pieces))]
+        self.ids: dict[str, str] = {}  # a chunk without its first marker -> its ids, each after a comma
+        self.odd: dict[str, str] = {}  # the decodings of chunks that do not decode to themselves
+
+    def _segment(self, chunks: list[str]) -> None:
+        found = self.sp.encode(chunks, num_threads=1)
+        # a lone decoding loses the first marker's space; a chunk without ids is a marker alone: the text ends with a space
+        texts, name = self.sp.decode(found, num_threads=1), self.names.__getitem__
+        for c, ids, text in zip(chunks, found, texts, strict=True):
+            self.ids[c] = "".join(map(name, ids)) if ids else name(self.mark)
+            if text != c:
+                self.odd[c] = text
+
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """The chunks of a text, each without its first marker."""
+        if MARK not in text and "  " not in text and text[0] != " ":
+            return text.split(" ")
+        return [c[1:].replace(MARK, " ") for c in CHUNK.findall(MARK + text.replace(" ", MARK))]
+
+    def run(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """The number of ids, the ids as decimal text joined by commas, and the decoded text of each."""
+        split = [self.chunks(t) if t else [] for t in texts]
+        met: set[str] = set()
+        met.update(*split)
+        if new := met.difference(self.ids):
+            self._segment(list(new))
+        look, odd, out = self.ids.__getitem__, self.odd, []
+        for t, chunks in zip(texts, split, strict=True):
+            ids = "".join(map(look, chunks))
+            plain = not odd or odd.keys().isdisjoint(chunks)
+            text = (t or "").replace(MARK, " ") if plain else " ".join([odd.get(c, c) for c in chunks])
+            out.append((ids.count(","), ids[1:], text))
+        if len(self.ids) > self.most:  # what this call has met stays, as far as there is room
+            self.ids = {c: self.ids[c] for c in met} if len(met) <= self.most else {}
+        for c in [c for c in met if len(c) > self.longest]:
+            self.ids.pop(c, None)
+        if self.odd:
+            self.odd = {c: x for c, x in self.odd.items() if c in self.ids}
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def worker_codec(model: str) -> ChunkCodec:
+    """The Python worker's own codec."""
+    return ChunkCodec(model)
 
 
 def encode_decode(docs: DataFrame, model: str | None = None, text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), keep: list[str] | None = None) -> DataFrame:
     """`docs` (or the columns in `keep`) with the asked-for outputs: n_tokens, ids, decoded and their SHA-256 digests."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     model = model or default_model()
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in outputs]
-    fields = StructType([docs.schema[c] for c in kept] + list(StructType.fromDDL(", ".join(f"{o} {TYPES[o]}" for o in outputs))))
-    arrow = to_arrow_schema(fields)
-    inner = docs.select(*kept, docs[text].alias("__text"))
-
-    def run(batches):
-        codec = ChunkCodec(model)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                rows = [codec.run(x) for x in part.column(part.num_columns - 1).to_pylist()]
-                made = {}
-                for o in outputs:
-                    if o == "n_tokens":
-                        made[o] = [r[0] for r in rows]
-                    elif o == "ids":
-                        made[o] = [list(map(int, r[1].split(","))) if r[1] else [] for r in rows]
-                    elif o == "decoded":
-                        made[o] = [r[2] for r in rows]
-                    else:
-                        made[o] = [hashlib.sha256(r[1 if o == "ids_sha256" else 2].encode()).hexdigest() for r in rows]
-                columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(made[o], arrow.field(o).type) for o in outputs], schema=arrow)
-
-    return inner.mapInArrow(run, fields)
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+    def make():
+        codec = worker_codec(model)
+
+        def fn(texts):
+            rows, made = codec.run(texts), {}
+            for o in outputs:
+                if o == "n_tokens":
+                    made[o] = [r[0] for r in rows]
+                elif o == "ids":
+                    ends = np.cumsum([0] + [r[0] for r in rows]).astype(np.int32)
+                    values = np.fromstring(",".join([r[1] for r in rows if r[0]]), np.int32, sep=",") if ends[-1] else np.empty(0, np.int32)
+                    made[o] = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+                elif o == "decoded":
+                    made[o] = [r[2] for r in rows]
+                else:
+                    made[o] = [digest(r[1 if o == "ids_sha256" else 2]) for r in rows]
+            return made
+
+        return fn
+
+    return text_map(docs, kept, make, ", ".join(f"{o} {TYPES[o]}" for o in outputs), text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
