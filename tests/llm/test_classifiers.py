@@ -92,16 +92,55 @@ def test_importance_keeps_good_rejects_bad(spark):
 
 
 def test_importance_counts_against_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    grams, want = importance.Grams(), np.zeros(importance.BUCKETS)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("target", F.col("doc_id") % 3 == 0)
+    grams, want = importance.Grams(), np.zeros((2, importance.BUCKETS))
     for r in docs.collect():
-        np.add.at(want, grams(r.text), 1)
-    assert (importance.bucket_counts(docs) == want).all()
+        np.add.at(want[0], grams(r.text), 1)
+        np.add.at(want[1], grams(r.text) if r.target else [], 1)
+    raw, target = importance.bucket_counts(docs)
+    assert (raw == want[0]).all() and (target == want[1]).all()
+
+
+def test_importance_weights_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ratio, grams = np.random.default_rng(2).normal(size=importance.BUCKETS), importance.Grams()
+    want = {r.doc_id: sum(float(ratio[g]) for g in grams(r.text)) for r in docs.collect()}
+    for r in importance.weights(docs, ratio, ["doc_id"]).collect():
+        assert np.isclose(r["__log_weight"], want[r.doc_id], rtol=1e-9, atol=1e-6)
+
+
+def test_importance_draws_the_k_largest_perturbed_weights(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(w)) for i, w in enumerate(rng.normal(size=3000) * 3)] + [(None, 0.5), (3001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, w double")
+    noisy = sorted(((r.w + r.g, r.doc_id) for r in df.where("w is not null").select("doc_id", "w", importance.gumbel(7, F.col("doc_id")).alias("g")).collect()), key=lambda r: -r[0])
+    kept = df.where(importance.top_k(df, 800, "w", 7, F.col("doc_id"))).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(d) for _, d in noisy[:800])
+    plain = {str(r[0]) for r in sorted((r for r in rows if r[1] is not None), key=lambda r: -r[1])[:800]}
+    assert len(plain - {str(r.doc_id) for r in kept}) > 50  # a draw, not a threshold
+
+
+def test_importance_inclusion_follows_the_weights(spark):
+    levels = (-2.0, -1.0, 0.0, 1.0, 2.0)
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, levels)), (F.col("id") % 5 + 1).cast("int")).alias("w"))
+    k = 10_000
+    shares = {r.w: r.share for r in df.select("w", importance.top_k(df, k, "w", 3, F.col("doc_id")).cast("int").alias("kept")).groupBy("w").agg(F.avg("kept").alias("share")).collect()}
+    low, high = -10.0, 10.0
+    for _ in range(60):  # the cut at which the expected number of draws is k
+        cut = (low + high) / 2
+        low, high = (cut, high) if sum(8000 * -np.expm1(-np.exp(w - cut)) for w in levels) > k else (low, cut)
+    for w in levels:
+        assert abs(shares[w] + np.expm1(-np.exp(w - cut))) < 0.02
 
 
 def test_importance_edges(spark):
-    docs = spark.createDataFrame([(1, None, "k"), (2, "", "k"), (3, "some words", "k"), (3, "some words", "k"), (4, "w " * 40_000, "k")], "doc_id long, text string, kept string")
+    rows = [(1, None, "k"), (2, "", "k"), (3, "some words", "k"), (3, "some words", "k"), (4, "w " * 40_000, "k"), (None, "some words", "k"), (5, "?!", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").withColumn("log_weight", F.lit("x")).withColumn("target", F.lit("x")).withColumn("n_grams", F.array(F.lit(1)))
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert sorted((r.doc_id, r.kept) for r in importance.select(docs, labels).collect()) == [(1, False), (2, False), (3, True), (3, True), (4, True)]
-    assert sorted(r.doc_id for r in importance.keep_good(docs, labels).collect()) == [3, 3, 4]
-    assert importance.select(docs.limit(0), labels).count() == 0
+    assert sorted((str(r.doc_id), r["__kept"]) for r in importance.select(docs, labels, ["doc_id"]).collect()) == [("1", False), ("2", False), ("3", True), ("3", True), ("4", True), ("5", True), ("None", True)]
+    kept = importance.keep_good(docs, labels)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "3", "4", "5", "None"]
+    assert importance.keep_good(docs.limit(0), labels).count() == 0
+    both = spark.createDataFrame([(3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    kept = sorted(str(r.doc_id) for r in importance.keep_good(docs, both).collect())
+    assert kept.count("3") in (0, 2) and "1" not in kept and "2" not in kept

@@ -1,16 +1,20 @@
 """Quality classification by importance resampling.
 
 Two generative models over hashed word uni- and bigrams (`BUCKETS` buckets): the target is learned from documents labelled
-as good, the raw model from all documents; both are plain bucket counts, summed over every such row. A document's weight is
-the mean log ratio of the two models over its n-grams, carried to a text of `LENGTH` n-grams, so that long and short texts
-compare. Gumbel noise, seeded by the document's id and small against that scale, is added, and the top k are selected.
-
-k is the number of documents whose weight reaches a cut calibrated on all labelled rows: the cut that removes most of quality
-0 while it keeps `KEEP_GOOD` of quality 1. The k-th largest value is found by counting a histogram,
-refined within one bin, so the selection is exact and nothing is gathered but the bins; ties at the cut are all kept.
-
-Defined results: null and empty texts have no n-grams and are rejected; repeated rows are kept or rejected alike; without
-labels of both classes every document with a word is kept; extra columns are kept by `keep_good`.
+as good (a hash sample of about `TARGET_DOCS` of them), the raw model from all documents; both are plain bucket counts. A
+document's log weight is the log ratio of the two models summed over its n-grams. Resampling without replacement in
+proportion to the weights is Gumbel top-k: standard Gumbel noise, seeded by the document's id and text, is added to the log
+weights, and the k largest sums are selected. The chance that a document is in depends on its weight: one whose log weight is
+d below the last selected value comes in with probability 1 - exp(-exp(-d)).
+
+k is the number of documents whose log weight reaches a cut calibrated on all labelled rows: midway between the quantile that
+`KEEP_GOOD` of quality 1 reach and the largest weight of quality 0 below it. The k-th largest value is found by counting a
+histogram, refined within one bin, so the selection is exact and nothing is gathered but the bins; ties at the cut are all
+kept.
+
+Defined results: null and empty texts have no n-grams and are rejected; repeated rows (equal id and text) are kept or rejected
+alike, and so are rows without an id and with equal texts; without labels of both classes every document with a word is kept;
+extra columns, whatever their names, are kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -22,46 +26,56 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stash, table
+from .common import arrow_map, bounded_sample, stash, table, text_map
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-BUCKETS, LENGTH, KEEP_GOOD, NOISE, BINS = 1 << 14, 64, 0.997, 0.05, 4_096
+BUCKETS, TARGET_DOCS, KEEP_GOOD, BINS = 1 << 14, 20_000, 0.997, 4_096
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Buckets(dict):
-    """Hashes of tokens: words by length class and letter case besides their own hash, so that unseen words count too."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        self[token] = h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
-        return h
-
-
 def shape(token: str) -> str:
+    """Length class and letter case of a word, so that unseen words count too."""
     if token.isalpha():
         kind = "A" if token.isupper() and len(token) > 1 else "a"
         return kind + str(min(4, len(token) // 4))
     return "0" if token.isdigit() else token[:3] if not token[0].isalnum() else "x"
 
 
+class Tokens(dict):
+    """Numbers of the tokens seen; `hash` and `shape` hold the hashes of the token and of its shape by number."""
+
+    MOST = 200_000
+
+    def __init__(self):
+        super().__init__()
+        self.hash, self.shape = np.zeros(self.MOST, np.uint64), np.zeros(self.MOST, np.uint64)
+
+    def __missing__(self, token: str) -> int:
+        n = len(self)
+        if n == len(self.hash):
+            self.hash, self.shape = (np.concatenate([x, np.zeros(n, np.uint64)]) for x in (self.hash, self.shape))
+        self.hash[n] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+        self.shape[n] = xxhash.xxh64_intdigest(b"\0" + shape(token).encode("utf-8", "surrogatepass"))
+        self[token] = n
+        return n
+
+
 class Grams:
-    """Bucket numbers of a text's n-grams: words, word pairs, pairs of shapes, and whether a word repeats its predecessor."""
+    """Bucket numbers of a text's n-grams: words, word pairs, pairs of shapes, and whether a word repeats its predecessor.
+    Tokens are forgotten between texts when there are more than Tokens.MOST."""
 
     def __init__(self):
-        self.words, self.shapes = Buckets(), {}
+        self.tokens = Tokens()
 
     def __call__(self, text: str | None) -> np.ndarray:
         tokens = TOKEN.findall(text) if text else []
         if not tokens:
             return np.empty(0, np.int64)
-        a = np.fromiter(map(self.words.__getitem__, tokens), np.uint64, len(tokens))
-        shapes = self.shapes
-        if len(shapes) > 300_000:
-            shapes.clear()
-        s = np.fromiter((shapes[t] if t in shapes else shapes.setdefault(t, self.words["\0" + shape(t)]) for t in tokens), np.uint64, len(tokens))
-        same = (a[1:] == a[:-1]).astype(np.uint64)
+        if len(self.tokens) > Tokens.MOST:
+            self.tokens = Tokens()
+        at = np.fromiter(map(self.tokens.__getitem__, tokens), np.int64, len(tokens))
+        a, s = self.tokens.hash[at], self.tokens.shape[at]
+        same = (at[1:] == at[:-1]).astype(np.uint64)
         pairs = (a[:-1] * SALT) ^ (a[1:] >> np.uint64(3))
         both = ((s[:-1] * SALT) ^ (s[1:] >> np.uint64(5))) + same * np.uint64(0x1234567)
         every = np.concatenate([a, pairs, both, both + np.uint64(77)])
@@ -69,45 +83,45 @@ class Grams:
         return (every >> np.uint64(64 - 14)).astype(np.int64)
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of all n-grams of all rows; each task sends one row a bucket at most."""
+def bucket_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the n-grams of all rows, and of the rows with `target`; each task sends two rows a bucket at most."""
 
     def make():
         grams = Grams()
 
         def fn(batch):
-            total = np.zeros(BUCKETS, np.int64)
-            for t in batch.column("text").to_pylist():
-                total += np.bincount(grams(t), minlength=BUCKETS)
+            total, mine = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+            for t, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
+                found = np.bincount(grams(t), minlength=BUCKETS)
+                total += found
+                if target:
+                    mine += found
             at = np.flatnonzero(total)
-            yield {"bucket": at, "n": total[at]}
+            yield {"bucket": at, "n": total[at], "n_target": mine[at]}
 
         return fn
 
-    out = np.zeros(BUCKETS)
-    for r in arrow_map(docs.select("text"), make, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r.bucket] = r.n
-    return out
+    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    found = arrow_map(docs.select("text", "target"), make, "bucket int, n long, n_target long")
+    for r in found.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).collect():
+        raw[r.bucket], target[r.bucket] = r.n, r.n_target
+    return raw, target
 
 
-def weights(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id") -> DataFrame:
-    """The key, n_grams and log_weight of each document."""
+def weights(docs: DataFrame, ratio: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns `keep`, __n_grams and __log_weight of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def make():
         grams, ratio = Grams(), shared.value
 
-        def fn(batch):
-            n, w = [], []
-            for t in batch.column("text").to_pylist():
-                g = grams(t)
-                n.append(len(g))
-                w.append(float(ratio[g].mean() * LENGTH) if len(g) else 0.0)
-            yield {key: batch.column("key").to_pylist(), "n_grams": n, "log_weight": w}
+        def fn(texts):
+            found = [grams(t) for t in texts]
+            return {"__n_grams": [len(g) for g in found], "__log_weight": [float(ratio[g].sum()) for g in found]}
 
         return fn
 
-    return arrow_map(docs.select(docs[key].alias("key"), "text"), make, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_grams long, log_weight double")
+    return text_map(docs, keep, make, "__n_grams long, __log_weight double")
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -133,21 +147,28 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def gumbel(key: str, seed: int) -> Column:
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit((1 << 40) - 1)) + 1) / float(1 << 40)
+def gumbel(seed: int, *columns: Column) -> Column:
+    """A standard Gumbel variate that depends on the columns' values alone."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit((1 << 40) - 1)) + 1) / float(1 << 40)
     return -F.log(-F.log(u))
 
 
+def top_k(scored: DataFrame, k: int, weight: str, seed: int, *identity: Column) -> Column:
+    """Whether a row of `scored` is among the k drawn by Gumbel top-k on its log weight; rows without a weight are not."""
+    drawn = F.col(weight) + gumbel(seed, *identity)
+    return F.coalesce(drawn >= F.lit(kth_largest(scored.select(drawn.alias("drawn")).where("drawn is not null"), "drawn", k)), F.lit(False))
+
+
 def judged(labels: DataFrame) -> DataFrame:
     """(doc_id, y): the quality of each labelled document."""
     return labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
-    """The log ratio of target and raw by bucket; none without words in labelled good documents."""
-    raw = bucket_counts(docs)
-    good = judged(labels).where("y = 1").select("doc_id")
-    target = bucket_counts(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
+    """The log ratio of target and raw by bucket, from one pass over the texts; none without words in labelled good
+    documents. The ids of the target's documents are a bounded broadcast."""
+    good = bounded_sample(judged(labels).where("y = 1"), TARGET_DOCS, "doc_id").select("doc_id", F.lit(True).alias("target"))
+    raw, target = bucket_counts(docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left"))
     if not raw.sum() or not target.sum():
         return None
     prior = (raw + 1) / (raw.sum() + BUCKETS)
@@ -169,30 +190,28 @@ def calibrate(scored: DataFrame, labels: DataFrame) -> float:
     return most if bad is None else (most + bad) / 2
 
 
-def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", noise: float = NOISE, seed: int = 11) -> DataFrame:
-    """The key, n_grams, log_weight, perturbed (with Gumbel noise) and kept of each document."""
+def select(docs: DataFrame, labels: DataFrame, keep: list[str], seed: int = 11) -> DataFrame:
+    """The columns `keep` (doc_id among them), __n_grams, __log_weight and __kept of each document."""
     ratio = fit(docs, labels)
-    plain = docs if key == "doc_id" else docs.withColumn("doc_id", F.col(f"{key}.doc_id"))
-    scored = weights(plain, np.zeros(BUCKETS) if ratio is None else ratio, key)
-    own = "doc_id" if key == "doc_id" else f"{key}.doc_id"
-    scored = scored.withColumn("perturbed", F.col("log_weight") + noise * gumbel(own, seed))
+    own = docs.withColumn("__text_hash", F.xxhash64("text"))
+    scored = weights(own, np.zeros(BUCKETS) if ratio is None else ratio, [*keep, "__text_hash"])
+    any_word = F.col("__n_grams") > 0
     if ratio is None:
-        return scored.withColumn("kept", F.col("n_grams") > 0)
-    scored = stash(scored)
-    small = scored.where("n_grams > 0")
-    cut = calibrate(small.select(F.col(own).alias("doc_id"), "log_weight"), labels)
+        return scored.withColumn("__kept", any_word).drop("__text_hash")
+    scored = stash(scored.withColumn("__log_weight", F.when(any_word, F.col("__log_weight"))))
+    cut = calibrate(scored.where(any_word).select("doc_id", F.col("__log_weight").alias("log_weight")), labels)
     if cut == float("-inf"):
-        return scored.withColumn("kept", F.col("n_grams") > 0)
-    k = small.where(F.col("log_weight") >= cut).count()
-    return scored.withColumn("kept", (F.col("n_grams") > 0) & (F.col("perturbed") >= kth_largest(small, "perturbed", k)))
+        return scored.withColumn("__kept", any_word).drop("__text_hash")
+    k = scored.where(F.col("__log_weight") >= cut).count()
+    kept = top_k(scored, k, "__log_weight", seed, F.col("doc_id"), F.col("__text_hash"))
+    return scored.withColumn("__kept", kept).drop("__text_hash")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are selected, with all their columns."""
-    columns = docs.columns
-    whole = docs.select(F.struct(*columns).alias("row"), "text", "doc_id")
-    return select(whole, labels, key="row").where("kept").select(*[F.col("row")[c].alias(c) for c in columns])
+    return select(docs, labels, docs.columns).where("__kept").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "n_grams", "log_weight", "kept")
+    found = select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return found.select("doc_id", F.col("__n_grams").alias("n_grams"), F.coalesce("__log_weight", F.lit(0.0)).alias("log_weight"), F.col("__kept").alias("kept"))
