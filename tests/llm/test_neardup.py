@@ -65,6 +65,35 @@ def test_chunked_buckets_lose_nothing(spark, monkeypatch):
     assert rows(n.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), 4)) == brute(docs, 4)
 
 
+def test_chunks_by_load_lose_nothing(spark, monkeypatch):
+    docs = corpus(3)
+    monkeypatch.setattr(n, "LOAD", 500)
+    assert rows(n.groups(spark.createDataFrame(docs, "doc_id long, text string"), 4)) == brute(docs, 4)
+
+
+def test_large_group_of_near_copies_with_outliers(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"h{i}" for i in range(120)]
+    docs = []
+    for i in range(300):
+        own = list(base)
+        for _ in range(rng.randrange(0, 3) if i % 10 else rng.randrange(6, 12)):
+            own[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(own)))
+    monkeypatch.setattr(n, "CHUNK", 40)
+    assert rows(n.groups(spark.createDataFrame(docs, "doc_id long, text string"), 4)) == brute(docs, 4)
+
+
+def test_null_keys_and_repeated_rows(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    data = [(1, a), (2, b), (1, a), (2, a + " x"), (None, a), (None, "only these few words"), (None, "only these few words"), (None, None), (None, ""), (7, "z " * 90_000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in n.groups(docs, 4).collect())
+    assert got == sorted([("1", 37, "1"), ("2", 37, "2"), ("1", 37, "1"), ("2", 38, "1"), ("None", 37, "1"), ("None", 1, "None"), ("None", 1, "None"), ("None", 0, "None"), ("None", 0, "None"), ("7", 1, "7")])
+    kept = sorted((str(r.doc_id), str(r.text)[:8]) for r in n.keep_one(docs).collect())
+    assert kept == sorted([("1", "w0 w1 w2"), ("2", "v0 v1 v2"), ("None", "only the"), ("None", "None"), ("None", ""), ("7", "z z z z ")])
+
+
 def test_query_against_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert rows(n.query(spark, "/root/testdata/sf0.001")) == brute(docs, 4)
