@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    verdict = {r.doc_id: r.kept for r in importance.select(docs, labels).collect()}
+    verdict = {r.doc_id: r["__kept"] for r in importance.select(docs, labels, ["doc_id"]).collect()}
     good = p.quality(spark, docs, SF)
     assert good.columns == docs.columns
     assert sorted(r.doc_id for r in good.collect()) == sorted(d for d, kept in verdict.items() if kept)

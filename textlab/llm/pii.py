@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .boosting import BoostedTrees
-from .common import arrow_map, table
+from .common import arrow_map, table, text_map, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
@@ -251,31 +251,26 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return arrow_map(docs.select(docs[key].alias("key"), docs[text].alias("text")), make, f"`{key}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+def bare(text: str, spans: dict) -> str:
+    """The text with each span replaced by its kind in angle brackets; of overlapping spans the first, then the shorter, names
+    the kind and the rest goes with the next one's."""
+    parts, last = [], 0
+    for b, e, k in sorted((b, e, k) for k, v in spans.items() for b, e in v):
+        if e > last:
+            parts += [text[last : max(b, last)], f"<{k}>"]
+            last = e
+    return "".join(parts) + text[last:]
+
+
+def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every span replaced by its kind in angle brackets; n_chars, where there is one, follows."""
-    shared, columns = docs.sparkSession.sparkContext.broadcast(model()), docs.columns
+    shared, kept = docs.sparkSession.sparkContext.broadcast(model()), [c for c in docs.columns if c != "text"]
 
     def make():
         trees, cuts = shared.value
+        return lambda texts: {"__cut": [bare(t, find(t, trees, cuts)[1]) if t else t for t in texts]}
 
-        def fn(batch):
-            out = {c: batch.column(c).to_pylist() for c in columns}
-            for i, t in enumerate(out[text]):
-                spans = sorted((b, e, k) for k, v in find(t, trees, cuts)[1].items() for b, e in v)
-                if spans:
-                    parts, last = [], 0
-                    for b, e, k in spans:
-                        if e > last:
-                            parts += [t[last : max(b, last)], f"<{k}>"]
-                            last = e
-                    out[text][i] = "".join(parts) + t[last:]
-                    if "n_chars" in out:
-                        out["n_chars"][i] = len(out[text][i])
-            yield out
-
-        return fn
-
-    return arrow_map(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return with_text(text_map(docs, kept, make, "__cut string"), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

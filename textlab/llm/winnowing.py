@@ -24,7 +24,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import table, text_map, with_text
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW, GRAM = 10, 5
@@ -140,96 +140,108 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> list:
     return [spark.sparkContext.broadcast([(r.i, r.t) for r in part.collect()]) for part in parts]
 
 
+def merged(own: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans that touch or overlap made one, in order."""
+    out: list[list[int]] = []
+    for a, b in sorted(own):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+class Matcher:
+    """Finds the windows of the benchmark's blocks in texts."""
+
+    def __init__(self, blocks: list):
+        self.blocks, self.resident = blocks, {}
+
+    def index(self, i: int) -> Index:
+        if i in self.resident:
+            return self.resident[i]
+        made = Index(self.blocks[i].value)
+        if i < RESIDENT:
+            self.resident[i] = made
+        else:
+            self.blocks[i].__dict__.pop("_value", None)
+        return made
+
+    def run(self, texts: list[str | None]) -> list[tuple[int, list[str], list[list[int]]]]:
+        """The number of words, the items (sorted) and the hit spans of each text."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(words(t))
+            size += len(part[-1]) + WINDOW
+            if size >= PART_WORDS:
+                out += self.matched(part)
+                part, size = [], 0
+        return out + self.matched(part)
+
+    def matched(self, split: list[list[bytes]]) -> list[tuple[int, list[str], list[list[int]]]]:
+        n = [len(w) for w in split]
+        begin = np.cumsum([0] + [x + WINDOW for x in n])
+        found, items = [[] for _ in n], [set() for _ in n]
+        for b in range(len(self.blocks)):
+            ix = self.index(b)
+            get = ix.vocabulary.get
+            flat = np.zeros(int(begin[-1]), np.int32)
+            for j, w in enumerate(split):
+                flat[begin[j] : begin[j] + n[j]] = np.fromiter((get(x, 0) for x in w), np.int32, n[j])
+            for k, starts, which in ix.hits(flat):
+                owner = np.searchsorted(begin, starts, "right") - 1
+                for j in np.unique(owner):
+                    mine = owner == j
+                    found[j] += [(int(s - begin[j]), int(s - begin[j]) + k) for s in starts[mine]]
+                    for x in np.unique(which[mine]):
+                        items[j] |= ix.tables[k][2][x]
+        return [(n[j], sorted(items[j]), merged(found[j])) for j in range(len(n))]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", benchmark_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings) and hit spans (word numbers, end exclusive) of each document."""
     blocks = _blocks(benchmark, item, benchmark_text)
 
     def make():
-        resident: dict[int, Index] = {}
-
-        def index(i: int) -> Index:
-            if i in resident:
-                return resident[i]
-            made = Index(blocks[i].value)
-            if i < RESIDENT:
-                resident[i] = made
-            else:
-                blocks[i].__dict__.pop("_value", None)
-            return made
-
-        def part(ids, texts):
-            split = [words(t) for t in texts]
-            n = [len(w) for w in split]
-            begin = np.cumsum([0] + [x + WINDOW for x in n])
-            found, items = [[] for _ in n], [set() for _ in n]
-            for b in range(len(blocks)):
-                ix = index(b)
-                get = ix.vocabulary.get
-                flat = np.zeros(int(begin[-1]), np.int32)
-                for j, w in enumerate(split):
-                    flat[begin[j] : begin[j] + n[j]] = np.fromiter((get(x, 0) for x in w), np.int32, n[j])
-                for k, starts, which in ix.hits(flat):
-                    owner = np.searchsorted(begin, starts, "right") - 1
-                    for j in np.unique(owner):
-                        mine = owner == j
-                        found[j] += [(int(s - begin[j]), int(s - begin[j]) + k) for s in starts[mine]]
-                        for x in np.unique(which[mine]):
-                            items[j] |= ix.tables[k][2][x]
-            spans = []
-            for own in found:
-                merged: list[list[int]] = []
-                for a, b in sorted(own):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                spans.append(merged)
-            return {"doc_id": ids, "n_words": n, "n_hit": [sum(b - a for a, b in s) for s in spans], "items": [sorted(x) for x in items], "spans": [[{"begin": a, "end": b} for a, b in s] for s in spans]}
-
-        def fn(batch):
-            ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "__text"))
-            begin = size = 0
-            for j, t in enumerate(texts):
-                size += len(t or "") // 5 + WINDOW
-                if size >= PART_WORDS:
-                    yield part(ids[begin : j + 1], texts[begin : j + 1])
-                    begin, size = j + 1, 0
-            if begin < len(texts):
-                yield part(ids[begin:], texts[begin:])
+        matcher = Matcher(blocks)
+
+        def fn(texts):
+            n, items, spans = zip(*matcher.run(texts), strict=True)
+            return {"n_words": n, "n_hit": [sum(b - a for a, b in s) for s in spans], "items": items, "spans": [[{"begin": a, "end": b} for a, b in s] for s in spans]}
 
         return fn
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", docs[text].alias("__text")), make, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<begin:int,end:int>>")
+    return text_map(docs, ["doc_id"], make, "n_words long, n_hit long, items array<string>, spans array<struct<begin:int,end:int>>", text)
+
+
+def without(text: str, spans: list[list[int]]) -> str:
+    """The text without the words of the spans and what stands between them."""
+    at, parts, last = word_spans(text), [], 0
+    for a, b in spans:
+        parts.append(text[last : at[a][0]])
+        last = at[b - 1][1]
+    return "".join(parts) + text[last:]
 
 
 def cut_hits(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.5) -> DataFrame:
-    """`docs` without the hit words (and what stands between them); documents with more than `most_share` of their words hit go."""
-    columns = docs.columns
-    found = decontaminate(docs.withColumn("doc_id", F.struct(*columns)), benchmark, "text")
+    """`docs` without the hit words (and what stands between them); documents with more than `most_share` of their words hit
+    go. n_chars, where there is one, follows the text."""
+    blocks, kept = _blocks(benchmark, "item_id", "text"), [c for c in docs.columns if c != "text"]
 
     def make():
-        def fn(batch):
-            rows = batch.column("doc_id").to_pylist()
-            out = {c: [] for c in columns}
-            for row, n, hit, spans in zip(rows, batch.column("n_words").to_pylist(), batch.column("n_hit").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                if hit > most_share * n:
-                    continue
-                if spans:
-                    at, text, parts, last = word_spans(row["text"]), row["text"], [], 0
-                    for s in spans:
-                        parts.append(text[last : at[s["begin"]][0]])
-                        last = at[s["end"] - 1][1]
-                    row["text"] = "".join(parts) + text[last:]
-                    if "n_chars" in row:
-                        row["n_chars"] = len(row["text"])
-                for c in columns:
-                    out[c].append(row[c])
-            yield out
+        matcher = Matcher(blocks)
+
+        def fn(texts):
+            take, out = [], []
+            for i, (n, _, spans) in enumerate(matcher.run(texts)):
+                if sum(b - a for a, b in spans) <= most_share * n:
+                    take.append(i)
+                    out.append(without(texts[i], spans) if spans else texts[i])
+            return {"take": take, "__cut": out}
 
         return fn
 
-    return arrow_map(found.select("doc_id", "n_words", "n_hit", "spans"), make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return with_text(text_map(docs, kept, make, "__cut string"), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
