@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textlab.llm import importance, neardup, pii, sentencepiece_codec, winnowing
-from textlab.llm.common import stash, table
+from textlab.llm.common import release, stash, stashed, table
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
@@ -50,5 +50,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        before = stashed()
         docs = stash(stage(spark, docs, sf_dir))
+        release(spark, before)  # the stage's own tables; its result stays
     return STAGES[-1][1](spark, docs, sf_dir)
