@@ -9,7 +9,7 @@ def test_held_out_pages():
     field, exact, pages = h.model(), 0, h.labelled_pages(300, seed=77)
     for page, main in pages:
         exact += h.main_text(page, field) == "\n".join(" ".join(html.unescape(m).split()) for m in main)
-    assert exact >= 0.9 * len(pages)
+    assert exact >= 0.98 * len(pages)
 
 
 def test_against_the_article_of_the_driver_pages(spark):
@@ -32,16 +32,33 @@ def test_markup():
     assert texts("<p>a&amp;b &lt;c&gt;<p>d<br>e <b>f</b><script>var x='</p>';</script> g<!-- no -->!</p>tail") == ["a&b <c>", "d e f g!", "tail"]
     assert texts('<div title="a > b">x</div><p>1 < 2 &nbsp; 3</p><style>p{}</style><p') == ["x", "1 < 2 3"]
     assert texts(None) == texts("") == texts("<!-- open") == []
-    assert [t for t, _ in h.blocks("<ul><li>a<li>b</ul>")[1].path] == ["ul", "li"]
+    assert h.blocks("<ul><li>a<li>b</ul>")[1].node.names == {"in:ul", "in:li"}
+    assert [b.node.own for b in h.blocks("<p><div><b><b>x<p>y<h1>z</h1></div>w")] == ["div", "p", "h1", "body"]
 
 
 def test_long_pages_take_linear_time():
     begin = time.time()
-    for c in ("<p>word ", "<", "<a '", "&amp;", "<div>", "</div>", "<b>x"):
+    for c in ("<p>word ", "<", "<a '", "&amp;", "<div>", "</div>", "<b>x", "<b><h1>x</h1>", "<div></p>", "<style>", "<head>", "<p><div><b>x<h1>y"):
         h.main_text(c * (60_000 // len(c)), h.model())
     assert time.time() - begin < 60
 
 
+def test_deep_pages_of_a_megabyte():
+    begin = time.time()
+    assert len(h.blocks("<div>x" * 180_000)) == 180_000
+    h.main_text("<div class='content'><section>x" * 30_000, h.model())
+    assert time.time() - begin < 60
+
+
+def test_pages_that_are_only_an_article():
+    field = h.model()
+    long = "A first sentence that is long enough to be read as text. And another one follows it here."
+    for body in ("One two three four.", long):
+        for wrap in ("<article>{}</article>", "<main>{}</main>", "<nav><a href='/'>home</a></nav><article>{}</article>", "<article>{}</article><footer>&copy; me</footer>"):
+            assert h.main_text(wrap.format(f"<p>{body}</p>"), field) == body
+    assert h.main_text(f"<html><body><article><h1>Title here</h1><p>{long}</p><p>{long}</p></article></body></html>", field) == f"Title here\n{long}\n{long}"
+
+
 def test_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "k"), (2, None, "", "k"), (3, "u", "<nav><a href='/'>x</a></nav>", "k"), (3, "u", "<nav><a href='/'>x</a></nav>", "k")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in h.extract(pages).orderBy("page_id").collect()] == [(1, "u", "", 0), (2, None, "", 0), (3, "u", "", 0), (3, "u", "", 0)]

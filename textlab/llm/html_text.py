@@ -7,7 +7,8 @@ log-likelihood (forward-backward) of a seeded generator of labelled pages, is de
 are the main text. Scripts, styles, the head, templates and comments of the markup never become blocks.
 
 Defined results: null and empty pages give the empty text; so does a page without a content block; repeated rows are treated
-alike; unclosed tags, attributes and comments are read to the page's end; long pages are read whole.
+alike; unclosed tags, attributes and comments are read to the page's end; long and deeply nested pages are read whole, in
+linear time: blocks share what their open tags contribute.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +36,44 @@ HINTS = frozenset("ad ads advert advertisement sponsor sponsored promo banner na
 ANCESTORS = frozenset("nav header footer aside article main form section ul ol table blockquote figure dialog button select label fieldset details menu h1 h2 h3 p div li td".split())
 
 
+CLOSABLE = frozenset().union(*CLOSES.values())
+MAIN_HINTS = frozenset(("content", "article", "post", "entry", "story"))
+
+
+class Node:
+    """An open tag: what its blocks need of it and its ancestors, shared with the parent where nothing is added. `near` has
+    the places in the stack of the closest tags that a new tag may close."""
+
+    __slots__ = ("inside", "name", "names", "near", "own")
+
+    def __init__(self, name: str, hints: tuple[str, ...], parent: Node | None, place: int):
+        self.name = name
+        more = [f"in:{name}"] if name in ANCESTORS else []
+        more += [f"hint:{h}" for h in hints]
+        above = parent.names if parent else frozenset()
+        self.names = above if above.issuperset(more) else above.union(more)
+        self.own = name if name in BLOCK else parent.own if parent else "body"
+        self.inside = name in ("article", "main") or not MAIN_HINTS.isdisjoint(hints) or bool(parent and parent.inside)
+        near = parent.near if parent and name not in STOPS else {}
+        self.near = {**near, name: place} if name in CLOSABLE else near
+
+
+ROOT = Node("", (), None, -1)
+
+
 class Block:
-    __slots__ = ("features", "linked", "path", "text")
+    __slots__ = ("linked", "node", "text")
 
-    def __init__(self, text: str, path: list[tuple[str, tuple[str, ...]]], linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, node: Node, linked: int):
+        self.text, self.node, self.linked = text, node, linked
 
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in order, with white space collapsed and character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    open_: Counter = Counter()
+    unclosed: set[str] = set()
     held: list[str] = []
     linked = 0
     page = page or ""
@@ -54,10 +83,14 @@ def blocks(page: str | None) -> list[Block]:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append(Block(text, list(stack), linked))
+                out.append(Block(text, stack[-1] if stack else ROOT, linked))
             held.clear()
         linked = 0
 
+    def close_from(i: int) -> None:
+        open_.subtract(n.name for n in stack[i:])
+        del stack[i:]
+
     at, end = 0, len(page)
     while at < end:
         lt = page.find("<", at)
@@ -68,7 +101,7 @@ def blocks(page: str | None) -> list[Block]:
             if "&" in run:
                 run = entities.unescape(run)
             held.append(run)
-            if any(t == "a" for t, _ in stack[-4:]):
+            if any(n.name == "a" for n in stack[-4:]):
                 linked += len(run)
         if lt == end:
             break
@@ -89,33 +122,34 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if name in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            for i in range(len(stack) - 1, -1, -1) if open_[name] > 0 else ():
+                if stack[i].name == name:
+                    close_from(i)
                     break
-                if name not in BLOCK and stack[i][0] in BLOCK:
+                if name not in BLOCK and stack[i].name in BLOCK:
                     break
             continue
         if name in RAW:
-            if not m[3].endswith("/"):
+            if not m[3].endswith("/") and name not in unclosed:
                 close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                if not close:
+                    unclosed.add(name)
                 at = close.end() if close else end if name != "head" else at
             continue
         if name == "br":
             held.append(" ")
         if name in BLOCK:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(name, ()) or (stack[i][0] == "p" and name in BLOCK):
-                    del stack[i:]
-                    break
-                if stack[i][0] in STOPS:
-                    break
+            near = stack[-1].near if stack else {}
+            place = max((near.get(t, -1) for t in CLOSES.get(name, {"p"}) | {"p"}), default=-1)
+            if place >= 0:
+                close_from(place)
         if name not in VOID and not m[3].endswith("/"):
             hints: tuple[str, ...] = ()
             if "=" in m[3]:
                 hints = tuple(sorted({w for a in HINT.findall(m[3]) for w in HINT_WORD.findall("".join(a).lower()) if w in HINTS}))
-            stack.append((name, hints))
+            stack.append(Node(name, hints, stack[-1] if stack else None, len(stack)))
+            open_[name] += 1
     flush()
     return out
 
@@ -124,8 +158,8 @@ def describe(found: list[Block]) -> list[list[str]]:
     """The names of the features of each block."""
     out, n = [], len(found)
     for k, b in enumerate(found):
-        names = {"bias"} | {f"in:{t}" for t, _ in b.path if t in ANCESTORS} | {f"hint:{h}" for _, hs in b.path for h in hs}
-        own = next((t for t, _ in reversed(b.path) if t in BLOCK), "body")
+        names = {"bias", *b.node.names}
+        own = b.node.own
         size, words = len(b.text), b.text.count(" ") + 1
         names |= {f"own:{own}", f"size:{min(7, size.bit_length() - 2) if size > 3 else 0}", f"links:{min(4, 4 * b.linked // max(1, size))}", f"words:{min(5, words.bit_length())}"}
         names.add(f"ends:{'stop' if b.text[-1] in '.!?…' else 'other'}")
@@ -135,7 +169,7 @@ def describe(found: list[Block]) -> list[list[str]]:
             names.add("last")
         if "©" in b.text or "(c)" in b.text.lower():
             names.add("copyright")
-        if not any(t in ("article", "main") or {"content", "article", "post", "entry", "story"} & set(h) for t, h in b.path):
+        if not b.node.inside:
             names.add("outside")
         out.append(sorted(names))
     return out
@@ -209,6 +243,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[str]]]:
     out = []
     for _ in range(n):
         main: list[str] = []
+        alone, bare, brief = chance(0.1), chance(0.12), chance(0.15)
 
         def keep(text: str) -> str:
             main.append(text)
@@ -228,15 +263,17 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[str]]]:
             f'<aside class="sidebar"><h3>{phrase(1, 3)}</h3><ul>{links(4)}</ul><p>{sentences(1, 3)}</p></aside>', f'<div class="sidebar"><p>{sentences(1, 4)}</p></div>', f'<div class="related"><h3>{phrase(1, 3)}</h3><ul>{links(3)}</ul></div>', f'<form class="newsletter"><p>{sentences(1, 2)}</p><input><button>{word()}</button></form>', f'<div class="share"><a href="#">{word()}</a> <a href="#">{word()}</a></div>', f'<div class="ad">{sentences(1, 4)}</div>',
             f"<footer>&copy; {word()} &middot; {sentences(1, 2)}</footer>", f'<footer><p>{sentences(1, 3)}</p><ul>{links(3)}</ul></footer>', f'<div class="footer">&copy; 2020 {phrase(1, 4)}</div>',
         ]
-        for k in rng.permutation(len(before))[: int(rng.integers(1, 5))]:
+        for k in rng.permutation(len(before))[: 0 if alone or bare else int(rng.integers(1, 5))]:
             parts.append(before[k])
         open_, close = pick(("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ("<main><article>", "</article></main>"), ('<div id="post">', "</div>"), ('<div class="story body">', "</div>"), ("<div>", "</div>"), ("", ""))
         parts.append(open_)
-        if chance(0.8):
+        if chance(0.4 if brief else 0.8):
             parts.append(f"<h1>{keep(phrase(2, 9) + pick('', '.'))}</h1>")
-        for _ in range(int(rng.integers(1, 9))):
+        for _ in range(int(rng.integers(1, 3 if brief else 9))):
             r = rng.random()
-            if r < 0.62:
+            if brief:
+                parts.append(f"<p>{keep(phrase(2, 7) + pick('.', '.', '', '!'))}</p>")
+            elif r < 0.62:
                 parts.append(f"<p>{keep(sentences(1, 7))}</p>")
             elif r < 0.70:
                 parts.append(f"<p><b>{keep(phrase(1, 12) + '.')}<br>")
@@ -255,7 +292,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[str]]]:
             else:
                 parts.append(f"<p>{keep(phrase(1, 3))}</p>")
         parts.append(close)
-        for k in rng.permutation(len(after))[: int(rng.integers(1, 5))]:
+        for k in rng.permutation(len(after))[: 0 if alone or chance(0.12) else int(rng.integers(1, 5))]:
             parts.append(after[k])
         out.append(("".join(parts) + ("</body></html>" if chance(0.9) else ""), main))
     return out
