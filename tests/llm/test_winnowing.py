@@ -69,3 +69,20 @@ def test_empty_tables(spark):
     none, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert w.decontaminate(none, bench).count() == 0
     assert w.decontaminate(spark.createDataFrame([(1, "a")], "doc_id long, text string"), bench).first().n_hit == 0
+
+
+def test_a_benchmark_too_large_to_broadcast_gives_the_same(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("key", w.F.col("doc_id"))
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None, None), (None, "", "en", "s", 0, 1)], docs.schema))
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    short = spark.createDataFrame([(1001, "The of"), (1002, "ER"), (1003, None), (1004, "? !"), (1002, "ER")], "item_id long, text string")
+    bench = bench.unionByName(short).unionByName(bench.limit(2).withColumn("item_id", w.F.col("item_id") + 5000))
+    read = lambda df: sorted(map(str, df.collect()))
+    small, small_cut = read(w.decontaminate(docs, bench)), read(w.cut_hits(docs, bench))
+    monkeypatch.setattr(w, "MOST_BROADCAST", 0)
+    assert read(w.decontaminate(docs, bench)) == small and read(w.cut_hits(docs, bench)) == small_cut
+    monkeypatch.setattr(w, "BLOOM_BITS", 64)  # a filter that lets nearly all pass changes nothing
+    few = docs.where("doc_id between 100 and 130")
+    got = read(w.decontaminate(few, bench))
+    assert len(got) == few.count() and set(got) <= set(small)

@@ -5,9 +5,10 @@ texts that share 10 words share a fingerprint, whatever surrounds it (5 + 6 - 1
 with those of the benchmark, and each match is extended: the windows around it are compared word by word. Items of fewer
 than 10 words are one window each and are looked up at every position.
 
-The benchmark is a stated query set. It is cut into blocks of bounded size, each broadcast; every document meets every
-block, in one pass over the documents and without a shuffle. Up to `RESIDENT` blocks stay indexed in a worker, further ones
-are indexed for a batch and dropped.
+The benchmark is a stated query set. Up to `MOST_BROADCAST` characters it is cut into blocks of bounded size, each broadcast
+and indexed in a worker; every document meets every block, in one pass over the documents and without a shuffle. A larger
+benchmark is never gathered: its fingerprints become a Bloom filter of at most `BLOOM_BITS` bits, and the windows of documents
+whose fingerprint passes are joined with its windows, word for word, by shuffle. Both ways give the same results.
 
 Defined results: null and empty texts have no words and no hits; an item without words is ignored; repeated documents give
 repeated rows, repeated items each count; other columns are kept when asked for; an empty benchmark hits nothing.
@@ -20,16 +21,20 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import table, text_map, with_text
+from .common import arrow_map, stash, table, text_map, with_text
+from .kernels import WordHashes, grams
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
 BLOCK_CHARS, RESIDENT, PART_WORDS = 2_000_000, 4, 400_000
+MOST_BROADCAST, BLOOM_BITS, PROBES = BLOCK_CHARS * RESIDENT, 1 << 27, 3
 ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -131,15 +136,114 @@ class Index:
                 starts, own, lo, hi = starts[~same], own[~same], lo[~same] + 1, hi[~same]
 
 
+def characters(benchmark: DataFrame, text: str) -> int:
+    return benchmark.agg(F.sum(F.length(text))).first()[0] or 0
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str) -> list:
-    """Broadcasts of about BLOCK_CHARS characters of items each, collected one at a time."""
+    """Broadcasts of about BLOCK_CHARS characters of items each, of MOST_BROADCAST in all, collected one at a time."""
     spark = benchmark.sparkSession
     rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
-    n = max(1, math.ceil((rows.agg(F.sum(F.length("t"))).first()[0] or 0) / BLOCK_CHARS))
+    n = max(1, math.ceil(characters(benchmark, text) / BLOCK_CHARS))
     parts = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n))
     return [spark.sparkContext.broadcast([(r.i, r.t) for r in part.collect()]) for part in parts]
 
 
+def marks(a: np.ndarray, k: int) -> np.ndarray:
+    """The fingerprint of each window of k words: of full windows the least of their 5-grams' hashes, of shorter ones their own."""
+    h = grams(a, GRAM if k == WINDOW else k)
+    return sliding_window_view(h, SPAN).min(1) if k == WINDOW and len(h) >= SPAN else h if k < WINDOW else h[:0]
+
+
+def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """item, k, g (the words, joined by a space) and mark (its fingerprint) of each window of the benchmark."""
+
+    def make():
+        hashes = WordHashes()
+
+        def fn(texts):
+            take, k_, g, mark = [], [], [], []
+            for i, t in enumerate(texts):
+                if w := words(t):
+                    k = min(len(w), WINDOW)
+                    found = marks(hashes.array(w), k)
+                    take += [i] * len(found)
+                    k_ += [k] * len(found)
+                    mark += found.view(np.int64).tolist()
+                    g += [b" ".join(w[j : j + k]).decode("utf-8", "surrogatepass") for j in range(len(found))]
+            return {"take": take, "k": k_, "g": g, "mark": mark}
+
+        return fn
+
+    return text_map(benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")), ["item"], make, "k int, g string, mark long")
+
+
+class Bloom:
+    """A set of 64-bit hashes that may hold others too."""
+
+    def __init__(self, words_: np.ndarray):
+        self.words, self.bits = words_, np.uint64(len(words_) * 64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for i in range(PROBES):
+            at = (h >> np.uint64(20 * i)) % self.bits
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def bloom(windows: DataFrame) -> Bloom:
+    """The filter of the marks, summed up by Spark; the driver gets its words, at most BLOOM_BITS / 64."""
+    distinct = windows.select("mark").distinct()
+    bits = min(BLOOM_BITS, max(1 << 16, 1 << (16 * distinct.count()).bit_length()))
+    probe = F.explode(F.array(*[F.expr(f"shiftrightunsigned(mark, {20 * i}) & {bits - 1}L") for i in range(PROBES)]))
+    at = distinct.select(probe.alias("at"))
+    word = F.shiftrightunsigned("at", 6).cast("int").alias("word")
+    found = at.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return Bloom(out.view(np.uint64))
+
+
+def hits_by_join(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str, item: str, benchmark_text: str) -> DataFrame:
+    """The columns `keep`, __n_words, __items and __spans of each document, for a benchmark of any size."""
+    windows = stash(item_windows(benchmark, item, benchmark_text))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(windows))
+    lengths = [r.k for r in windows.select("k").distinct().collect()]  # at most WINDOW
+
+    def make():
+        hashes, known = WordHashes(), shared.value
+
+        def fn(texts):
+            n, likely = [], []
+            for t in texts:
+                w = words(t)
+                a, own = hashes.array(w), []
+                for k in lengths:
+                    for i in np.flatnonzero(known.has(marks(a, k))).tolist() if len(w) >= k else ():
+                        own.append({"k": k, "i": i, "g": b" ".join(w[i : i + k]).decode("utf-8", "surrogatepass")})
+                n.append(len(w))
+                likely.append(own)
+            return {"__n_words": n, "__likely": likely}
+
+        return fn
+
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = stash(text_map(numbered, [*keep, "__row"], make, "__n_words long, __likely array<struct<k:int,i:int,g:string>>", text))
+    likely = rows.select("__row", F.inline("__likely"))
+    found = stash(likely.join(windows.select("k", "g").distinct(), ["k", "g"]))
+    items = found.select("__row", "k", "g").distinct().join(windows.select("item", "k", "g").distinct(), ["k", "g"])
+    items = items.groupBy("__row").agg(F.sort_array(F.collect_set("item")).alias("__items"))
+    span = F.struct(F.col("i").alias("begin"), (F.col("i") + F.col("k")).alias("end"))
+    last = lambda acc: F.element_at(acc, -1)
+    grown = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["begin"].alias("begin"), F.greatest(last(acc)["end"], x["end"]).alias("end"))))
+    step = lambda acc, x: F.when((F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1)) >= x["begin"]), grown(acc, x)).otherwise(F.concat(acc, F.array(x)))
+    empty = F.expr("cast(array() as array<struct<begin:int,end:int>>)")
+    spans = found.groupBy("__row").agg(F.aggregate(F.sort_array(F.collect_list(span)), empty, step).alias("__spans"))
+    out = rows.drop("__likely").join(spans, "__row", "left").join(items, "__row", "left")
+    return out.select(*keep, "__n_words", F.coalesce("__items", F.expr("cast(array() as array<string>)")).alias("__items"), F.coalesce("__spans", empty).alias("__spans"))
+
+
 def merged(own: list[tuple[int, int]]) -> list[list[int]]:
     """Spans that touch or overlap made one, in order."""
     out: list[list[int]] = []
@@ -200,6 +304,10 @@ class Matcher:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", benchmark_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings) and hit spans (word numbers, end exclusive) of each document."""
+    if characters(benchmark, benchmark_text) > MOST_BROADCAST:
+        found = hits_by_join(docs, benchmark, ["doc_id"], text, item, benchmark_text)
+        n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+        return found.select("doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.col("__items").alias("items"), F.col("__spans").alias("spans"))
     blocks = _blocks(benchmark, item, benchmark_text)
 
     def make():
@@ -223,23 +331,39 @@ def without(text: str, spans: list[list[int]]) -> str:
     return "".join(parts) + text[last:]
 
 
+def cut(texts: list[str | None], found: list[tuple[int, list[list[int]]]], most_share: float) -> dict:
+    """The numbers of the texts that stay, and what is left of them, from the number of words and the hit spans of each."""
+    take, out = [], []
+    for i, (n, spans) in enumerate(found):
+        if sum(b - a for a, b in spans) <= most_share * n:
+            take.append(i)
+            out.append(without(texts[i], spans) if spans else texts[i])
+    return {"take": take, "__cut": out}
+
+
 def cut_hits(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.5) -> DataFrame:
     """`docs` without the hit words (and what stands between them); documents with more than `most_share` of their words hit
     go. n_chars, where there is one, follows the text."""
-    blocks, kept = _blocks(benchmark, "item_id", "text"), [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c != "text"]
+    if characters(benchmark, "text") > MOST_BROADCAST:
+        found = hits_by_join(docs, benchmark, docs.columns, "text", "item_id", "text")
 
-    def make():
-        matcher = Matcher(blocks)
+        def judge():
+            def fn(batch):
+                spans = [[(s["begin"], s["end"]) for s in x] for x in batch.column("__spans").to_pylist()]
+                got = cut(batch.column("text").to_pylist(), list(zip(batch.column("__n_words").to_pylist(), spans, strict=True)), most_share)
+                rows = batch.take(pa.array(got["take"], pa.int64()))
+                yield {c: rows.column(c) for c in kept} | {"__cut": got["__cut"]}
 
-        def fn(texts):
-            take, out = [], []
-            for i, (n, _, spans) in enumerate(matcher.run(texts)):
-                if sum(b - a for a, b in spans) <= most_share * n:
-                    take.append(i)
-                    out.append(without(texts[i], spans) if spans else texts[i])
-            return {"take": take, "__cut": out}
+            return fn
 
-        return fn
+        schema = StructType([docs.schema[c] for c in kept] + [StructField("__cut", StringType())])
+        return with_text(arrow_map(found, judge, schema), docs)
+    blocks = _blocks(benchmark, "item_id", "text")
+
+    def make():
+        matcher = Matcher(blocks)
+        return lambda texts: cut(texts, [(n, spans) for n, _, spans in matcher.run(texts)], most_share)
 
     return with_text(text_map(docs, kept, make, "__cut string"), docs)
 
