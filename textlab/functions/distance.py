@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from .text import SIGNS, bind, codepoints, graphemes, words
 
-FIRST, CELLS = 65_536, 4_000_000
+FIRST, MOST_TOKENS, CELLS = 65_536, 1_000_000, 4_000_000
 ALIGNED = ArrayType(StructType().add("ref", StringType()).add("hyp", StringType()))
 
 
@@ -25,11 +25,12 @@ def _as_text(tokens: Column, known: Column) -> Column:
     """Tokens numbered by `known`: as Latin-1 where 255 numbers do, else from U+10001 on."""
     near = lambda t: F.char(F.array_position(known, t))
     far = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + FIRST), 8, "0")), "UTF-32")
-    return F.array_join(F.when(F.size(known) < 256, F.transform(tokens, near)).otherwise(F.transform(tokens, far)), "")
+    many = F.raise_error(F.lit(f"a pair has more than {MOST_TOKENS} distinct tokens"))
+    return F.array_join(F.when(F.size(known) < 256, F.transform(tokens, near)).when(F.size(known) <= MOST_TOKENS, F.transform(tokens, far)).otherwise(many), "")
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance between two arrays of strings (at most 1,000,000 distinct tokens a pair)."""
+    """Levenshtein distance between two arrays of strings (a pair with more than MOST_TOKENS distinct tokens raises)."""
     both = F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("known"))
     return bind(both, lambda x: F.levenshtein(_as_text(x["a"], x["known"]), _as_text(x["b"], x["known"])))
 

@@ -17,13 +17,14 @@ WORDS_A_LINE = 12
 
 def chunk(docs: DataFrame, per_source: bool = True, width: int = WORDS_A_LINE, keep_tail: bool = False) -> DataFrame:
     """(source, line_no, line, n_words): the words of all documents, by source (or of the whole stream of sources) in the
-    order of doc_id, cut every `width` words. A null text has no words.
+    order of doc_id, cut every `width` words. A null text has no words; a null source is the source ""; rows without a
+    doc_id come first, in the order of their texts, and so do rows that share one.
 
     Words never leave their document one by one. Document word counts give offsets, each document cuts its own words at the
     lines' borders, and only the pieces of lines that span documents are shuffled (at most `width` a line)."""
     docs = docs.select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counted = docs.withColumn("n", F.size(words(F.col("text"))).cast("long")).where("n > 0")
-    placed = running_offset(counted, ["source"], id_block("doc_id"), [F.col("doc_id"), F.col("text")], F.col("n"))
+    placed = running_offset(counted, ["source"], id_block("doc_id", "text"), [F.col("doc_id"), F.col("text")], F.col("n"))
     if not per_source:
         totals = counted.groupBy("source").agg(F.sum("n").alias("total"))
         starts = running_offset(totals, [], F.substring("source", 1, 1), [F.col("source")], F.col("total"), "start").drop("total")
@@ -78,9 +79,9 @@ def select(pool: DataFrame, sources: list[str] | None = None, n_lines: int | Non
     if check and n_lines is not None and (there := rows.count()) < n_lines:
         raise TooFewLinesError(f"asked for {n_lines} of {there} lines")
     rows = rows.withColumn("digest", seeded(F.col("line"), seed))
-    if n_lines is not None:
-        rows = rows.orderBy("digest", "source", "line_no").limit(n_lines)
-    return global_rank(rows, "digest", [F.col("source"), F.col("line_no")]).select("rank", "source", "line_no", "line")
+    ranked = global_rank(rows, "digest", [F.col("source"), F.col("line_no")])
+    ranked = ranked if n_lines is None else ranked.where(F.col("rank") < n_lines)
+    return ranked.select("rank", "source", "line_no", "line")
 
 
 def provenance(selected: DataFrame, pool: DataFrame) -> DataFrame:

@@ -78,3 +78,9 @@ def status_tally(statuses: DataFrame) -> DataFrame:
     """Rows by kind of status (what stands before a colon), and whether the kind is a problem."""
     kind = F.substring_index("status", ":", 1)
     return statuses.groupBy(kind.alias("status")).agg(F.count("*").alias("n")).withColumn("problem", ~F.col("status").isin("ok", "skip"))
+
+
+def first_problems(statuses: DataFrame, order: str, n: int = 10) -> DataFrame:
+    """The first `n` rows, by `order`, whose status is a problem: a bounded top-n."""
+    kind = F.substring_index("status", ":", 1)
+    return statuses.where(~kind.isin("ok", "skip")).orderBy(order).limit(n)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import grid, layout, pairs
+from ..session import shared_folder
+from ..sources import files
 from . import fixtures as X
-from .corpora import selected
+from .corpora import _SPLIT, split
 from .registry import query
 
 
@@ -84,6 +85,16 @@ def status_tally(spark, d):
     return pairs.status_tally(X.table(spark, d, "events").select(status.alias("status")))
 
 
+@query("""
+WITH s AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'box-fail: ' || event_id WHEN 'signup' THEN 'skip' WHEN 'view' THEN 'lstmf-fail: ' || user_id ELSE 'ok' END AS status FROM events)
+SELECT event_id, status FROM s WHERE status NOT IN ('ok', 'skip') ORDER BY event_id LIMIT 10""")
+def status_problems(spark, d):
+    """The first ten problems, as the report of a run prints them."""
+    e = F.col("event_type")
+    status = F.when(e == "error", F.concat(F.lit("box-fail: "), F.col("event_id"))).when(e == "signup", "skip").when(e == "view", F.concat(F.lit("lstmf-fail: "), F.col("user_id"))).otherwise("ok")
+    return pairs.first_problems(X.table(spark, d, "events").select("event_id", status.alias("status")), "event_id")
+
+
 @query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
 def stems_intersect(spark, d):
     return X.table(spark, d, "documents").select("doc_id").intersect(X.table(spark, d, "labels").select("doc_id"))
@@ -177,14 +188,15 @@ SIZES, CAP = (100, 1_000, 10_000, 50_000, 198_653), 5_000
 
 
 @query(f"""
-WITH {X.SELECTED}, {X.REGISTERS}, per AS (SELECT source, register, count(*) AS n FROM pool JOIN registers USING (source) GROUP BY ALL)
+WITH {_SPLIT}, {X.REGISTERS}, per AS (SELECT source, register, count(*) AS n FROM pool JOIN registers USING (source) GROUP BY ALL)
 SELECT 'fonts' AS experiment, printf('f%02d', k) AS name, 50000::BIGINT AS n_lines, k::INTEGER AS n_faces, NULL::VARCHAR AS sources, 0 AS seed FROM (VALUES (5), (10), (29)) v(k)
-UNION ALL SELECT 'size', printf('n%03dk', n // 1000), n::BIGINT, {X.N_FACES}, NULL, 0 FROM (VALUES {", ".join(f"({n})" for n in SIZES)}) v(n) WHERE n <= (SELECT count(*) FROM selected)
+UNION ALL SELECT 'size', printf('n%03dk', n // 1000), n::BIGINT, {X.N_FACES}, NULL, 0 FROM (VALUES {", ".join(f"({n})" for n in SIZES)}) v(n) WHERE n <= (SELECT count(*) FROM split WHERE renderable)
 UNION ALL SELECT 'domain', register, {CAP}, {X.N_FACES}, string_agg(source, ',' ORDER BY source), 0 FROM per GROUP BY register HAVING sum(n) >= {CAP}
 UNION ALL SELECT 'domain', 'mixed', {CAP}, {X.N_FACES}, string_agg(source, ',' ORDER BY source), 0 FROM per""")
 def grid_variants(spark, d):
-    """All three grids; sizes and registers that the corpus cannot fill are left out."""
-    available = selected(spark, d).agg(F.count("*").alias("n"))
+    """All three grids; sizes that the lines every typeface can render do not fill, and registers that the corpus does not,
+    are left out."""
+    available = split(spark, d).where("renderable").agg(F.count("*").alias("n"))
     fonts = grid.font_grid(spark, (5, 10, 29), 50_000)
     sizes = grid.size_grid(available, SIZES, X.N_FACES)
     return fonts.unionByName(sizes).unionByName(grid.domain_grid(X.pool(spark, d), X.registers(spark), CAP, X.N_FACES))
@@ -217,10 +229,9 @@ def results(spark):
 @query(f"WITH {RESULTS} SELECT experiment, name, n_lines::BIGINT AS n_lines, n_faces, cer_grapheme_micro, cer_grapheme_lo, cer_grapheme_hi, cer_codepoint_micro, wer_micro FROM results")
 def load_results(spark, d):
     """Results written as one `<experiment>/<name>/result.json` each and read back by pattern."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = f"{shared or 'file://' + tempfile.mkdtemp(prefix='results-')}/results-{uuid.uuid4().hex}"
-    results(spark).withColumn("e", F.col("experiment")).withColumn("n", F.col("name")).write.partitionBy("e", "n").json(folder)
-    return spark.read.schema(grid.RESULT).option("recursiveFileLookup", True).json(folder).drop("timestamp")
+    folder = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    files.write_results(results(spark), folder)
+    return files.read_results(spark, folder).drop("timestamp")
 
 
 _pct = lambda c: f"printf('%.2f', {c} * 100)"

@@ -125,6 +125,23 @@ reps AS (SELECT rep, sum(w * grapheme_edits) AS sum_grapheme_e, sum(w * grapheme
 ends AS ({ends})"""
 
 
+def _sql_boot_index(n_boot):
+    """n rows drawn with replacement a replicate: row number floor of a digest modulo n."""
+    lo, hi = int(0.025 * n_boot), min(int(0.975 * n_boot), n_boot - 1)
+    ends = "\nUNION ALL ".join(f"SELECT '{u}' AS metric, r[{lo + 1}] AS lo, r[{hi + 1}] AS hi FROM (SELECT list({X.sql_rate(f'sum_{u}_e', f'sum_{u}_r')} ORDER BY {X.sql_rate(f'sum_{u}_e', f'sum_{u}_r')}) AS r FROM reps)" for u in ("grapheme", "word"))
+    return f"""{X.SCORED},
+numbered AS (SELECT row_number() OVER (ORDER BY name) - 1 AS i, * FROM scored), size AS (SELECT count(*) AS n FROM scored),
+draws AS (SELECT rep, ('0x' || substr(md5('0|' || rep || '|' || k), 1, 8))::BIGINT % n AS i FROM size, range(0, n) a(k), range(0, {n_boot}) b(rep)),
+reps AS (SELECT rep, sum(grapheme_edits) AS sum_grapheme_e, sum(grapheme_ref) AS sum_grapheme_r, sum(word_edits) AS sum_word_e, sum(word_ref) AS sum_word_r FROM draws JOIN numbered ON numbered.i = draws.i GROUP BY rep),
+ends AS ({ends})"""
+
+
+@query(f"WITH {_sql_boot_index(BOOT)} SELECT * FROM ends")
+def bootstrap_ci_index(spark, d):
+    """Percentile intervals over {BOOT} resamples of as many rows as there are, drawn with replacement."""
+    return evaluate.bootstrap(scored(spark, d), "name", n_boot=BOOT, method="index")
+
+
 @query(f"WITH {_sql_boot(BOOT)} SELECT * FROM ends")
 def bootstrap_ci(spark, d):
     """Percentile intervals over {BOOT} resamples of all lines, by weights."""

@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+class NoSharedFolderError(RuntimeError):
+    pass
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder. Only a local
+    session may do without: it gets a folder of its own. On a cluster a missing folder is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise NoSharedFolderError("spark.checkpoint.dir is not set, and executors share no other folder")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='textlab-')}")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
 def get_session(app: str = "textlab", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, adaptive execution and Arrow; `conf` entries win over the defaults."""
     builder = SparkSession.builder.appName(app)

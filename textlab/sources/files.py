@@ -14,17 +14,29 @@ def stem(suffix: str) -> Column:
     return F.url_decode(F.replace(F.regexp_replace(name, rf"{suffix}$", ""), F.lit("+"), F.lit("%2B")))
 
 
+def _empty(spark: SparkSession, folder: str, suffix: str) -> list[str]:
+    """Names, without the suffix, of the files without a byte: Spark's readers leave such files out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/*{suffix}")
+    found = path.getFileSystem(conf).globStatus(path) or ()
+    return [f.getPath().getName().removesuffix(suffix) for f in found if f.isFile() and f.getLen() == 0]
+
+
 def read_sources(spark: SparkSession, folder: str) -> DataFrame:
     """(source, doc_id, text): one row a `*.txt` file; the stem is the source."""
     found = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    return found.select(stem(r"\.txt").alias("source"), F.lit(0).cast("long").alias("doc_id"), F.col("value").alias("text"))
+    rows = found.select(stem(r"\.txt").alias("source"), F.lit(0).cast("long").alias("doc_id"), F.col("value").alias("text"))
+    none = spark.createDataFrame([(x, 0, "") for x in _empty(spark, folder, ".txt")], rows.schema)
+    return rows.unionByName(none)
 
 
 def read_stems(spark: SparkSession, folder: str, suffix: str = ".gt.txt") -> DataFrame:
     """(stem, text) of the files that end in `suffix`; a plain `.txt` scan leaves `.gt.txt` files out."""
     found = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
     rows = found.select(F.col("_metadata.file_path").alias("path"), stem(suffix.replace(".", r"\.")).alias("stem"), F.col("value").alias("text"))
-    return (rows.where(~F.col("path").endswith(".gt.txt")) if suffix == ".txt" else rows).drop("path")
+    rows = (rows.where(~F.col("path").endswith(".gt.txt")) if suffix == ".txt" else rows).drop("path")
+    none = [(x, "") for x in _empty(spark, folder, suffix) if suffix != ".txt" or not x.endswith(".gt")]
+    return rows.unionByName(spark.createDataFrame(none, "stem string, text string"))
 
 
 def read_document(spark: SparkSession, ref: str, hyp: str, name: str = "document") -> DataFrame:
@@ -60,6 +72,16 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
+def write_results(results: DataFrame, folder: str) -> None:
+    """One `<experiment>/<name>/result.json` a row, through Spark's file systems (results of a sweep, some dozen at most)."""
+    jvm, conf = results.sparkSession.sparkContext._jvm, results.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for row in results.select("experiment", "name", F.to_json(F.struct(*results.columns)).alias("json")).toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.experiment}/{row.name}/result.json")
+        out = path.getFileSystem(conf).create(path, True)
+        out.write(bytearray(row.json, "utf-8"))
+        out.close()
+
+
 def append_journal(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
