@@ -76,6 +76,29 @@ def test_label_model_finds_the_better_voter():
     assert weight[2] < weight[0] and weight[3] < weight[0]
 
 
+def test_forward_sums_of_long_words_do_not_depend_on_the_way(monkeypatch):
+    rng = np.random.default_rng(8)
+    pieces = language_id.Pieces(["a", "ab", "abc", "b", "bc", "bcab", "c"])
+    model = language_id.Model(["x", "y"], np.full(2, 0.5), rng.dirichlet(np.ones(8), 2).T, pieces)
+    words = ["".join(rng.choice(list("abcd"), n)) for n in (1, 3, 23, 24, 25, 65, 200, 900)]
+    plain = []
+    for w in words:
+        log = []
+        for k in range(2):
+            a, scale = [1.0], 0.0
+            for j in range(1, len(w) + 1):
+                a.append(sum(a[i] * model.p[pieces.pieces.index(w[i:j]), k] for i in range(max(0, j - 4), j) if w[i:j] in pieces.pieces) + (a[j - 1] * model.p[7, k] if w[j - 1] == "d" else 0))
+                if j % 50 == 0:
+                    scale += np.log(a[j])
+                    a = [x / a[j] for x in a]
+            log.append(np.log(a[-1]) + scale)
+        plain.append(log)
+    for long in (0, 64, 10_000):
+        monkeypatch.setattr(language_id, "LONG", long)
+        monkeypatch.setattr(language_id, "BLOCK", 37)
+        assert np.allclose(model.log_words(words), plain, rtol=1e-9)
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(1)
     values = np.round(rng.normal(size=2000), 2).tolist()

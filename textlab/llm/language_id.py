@@ -4,7 +4,8 @@ Every language has a probability for each piece of a fixed public vocabulary. Th
 sum over all its segmentations into pieces (forward algorithm); a text's is the product over its words. The piece
 probabilities are fitted by expectation-maximisation (forward-backward counts) on the words of a bounded hash sample of
 labelled documents (`SAMPLE` documents a language). Characters outside the vocabulary are pieces of their own at a small
-fixed probability, so that every word has a finite score.
+fixed probability, so that every word has a finite score. The probabilities are learned from words of up to `LEARNED` letters;
+all pieces of the vocabulary take part, and texts are scored by their whole words. Priors are equal.
 
 The forward pass runs over all distinct words of a batch at once: a matrix of code points a word length, substring hashes
 looked up in an open table of piece hashes.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, bounded_sample, crc_fold, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
-SAMPLE, ROUNDS, LONGEST_PIECE, LONGEST_WORD = 300, 3, 10, 24
-UNSEEN, PRIME = 1e-7, np.uint64(0x100000001B3)
+SAMPLE, ROUNDS, STEP, LONG, BLOCK = 300, 3, 24, 64, 4_096
+UNSEEN, LETTER, LEARNED, PRIME = 1e-7, 3.0, 100, np.uint64(0x100000001B3)
 
 
 def vocabulary() -> list[str]:
@@ -37,17 +38,13 @@ def vocabulary() -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     pieces = {sp.id_to_piece(i).replace("▁", "").lower() for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-    return sorted(p for p in pieces if LETTERS.fullmatch(p) and len(p) <= LONGEST_PIECE)
+    return sorted(p for p in pieces if LETTERS.fullmatch(p))
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters; longer runs are cut every LONGEST_WORD letters, nothing is dropped."""
-    out = []
-    for w in LETTERS.findall(text.lower()) if text else ():
-        if not w.isalpha() and not any(map(str.isalpha, w)):  # runs of signs such as a superscript alone
-            continue
-        out += [w] if len(w) <= LONGEST_WORD else [w[i : i + LONGEST_WORD] for i in range(0, len(w), LONGEST_WORD)]
-    return out
+    """Lower-cased runs of letters, whole."""
+    # runs of signs such as a superscript alone are no words
+    return [w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
 def spelled(words: list[str], n: int) -> np.ndarray:
@@ -58,7 +55,7 @@ class Pieces:
     """Finds pieces by rolling hash of their code points; number len(list) stands for any absent single character."""
 
     def __init__(self, pieces: list[str]):
-        self.pieces = pieces
+        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
         self.bits = max(12, (8 * len(pieces)).bit_length())
         self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
         for number, p in enumerate(pieces):
@@ -105,7 +102,7 @@ class Pieces:
         n = letters.shape[1]
         for i in range(n):
             h = np.zeros(len(letters), np.uint64)
-            for j in range(i, min(n, i + LONGEST_PIECE)):
+            for j in range(i, min(n, i + self.longest)):
                 h = self.step(h, letters[:, j])
                 number = self.find(h)
                 if j == i:
@@ -133,13 +130,56 @@ class Model:
         out = np.empty((len(words), len(self.languages)))
         for n, numbers in by_length(words):
             numbers = np.array(numbers)
-            a = np.zeros((n + 1, len(numbers), len(self.languages)))
-            a[0] = 1
-            for i, j, rows, piece in self.pieces.arcs(spelled([words[k] for k in numbers], n)):
-                a[j, rows] += a[i, rows] * self.p[piece]
-            out[numbers] = np.log(np.maximum(a[n], 1e-300))
+            if n > LONG:
+                out[numbers] = [self._log_sum_long(spelled([words[k]], n)[0]) for k in numbers]
+            else:
+                out[numbers] = self._log_sums(spelled([words[k] for k in numbers], n))
         return out
 
+    def _log_sum_long(self, letters: np.ndarray) -> np.ndarray:
+        """The same sum for one long word: pieces are looked up for a block of its letters at once."""
+        held, n, languages = self.pieces.longest, len(letters), len(self.languages)
+        recent, scale = np.zeros((held, languages)), np.zeros(languages)
+        recent[0] = 1  # recent[k] is the sum at k letters before the current one
+        for start in range(0, n, BLOCK):
+            end, first = min(n, start + BLOCK), max(0, start + 1 - held)
+            part, h = letters[first:end], np.zeros(end - first, np.uint64)
+            by_end = np.zeros((end - start, held, languages))
+            for k in range(1, min(held, len(part)) + 1):
+                h = self.pieces.step(h[: len(part) - k + 1], part[k - 1 :])
+                number = self.pieces.find(h)
+                number = np.where(number < 0, len(self.pieces.pieces), number) if k == 1 else number
+                at = np.flatnonzero(number >= 0)
+                ends = first + at + k - 1 - start
+                at, ends = at[ends >= 0], ends[ends >= 0]
+                by_end[ends, k - 1] = self.p[number[at]]
+            for j, weights in enumerate(by_end, start + 1):
+                new = (recent * weights).sum(0)
+                recent[1:] = recent[:-1].copy()
+                recent[0] = new
+                if j % STEP == 0:
+                    top = np.maximum(recent.max(0), 1e-300)
+                    recent /= top
+                    scale += np.log(top)
+        return np.log(np.maximum(recent[0], 1e-300)) + scale
+
+    def _log_sums(self, letters: np.ndarray) -> np.ndarray:
+        """The forward sums at the ends of equally long words. Only as many of them are held as a piece is long, and they are
+        scaled every STEP letters, so words of any length neither underflow nor fill memory."""
+        rows_, n, held = *letters.shape, self.pieces.longest + 1
+        a = np.zeros((held, rows_, len(self.languages)))
+        a[0], scale, at = 1, np.zeros((rows_, len(self.languages))), 0
+        for i, j, rows, piece in self.pieces.arcs(letters):
+            if i != at:  # position i is final now; the slot of the one before is free
+                a[at % held] = 0
+                at = i
+                if i % STEP == 0:
+                    top = np.maximum(a.max(0), 1e-300)
+                    a /= top
+                    scale += np.log(top)
+            a[j % held, rows] += a[i % held, rows] * self.p[piece]
+        return np.log(np.maximum(a[n % held], 1e-300)) + scale
+
 
 def expect(pieces: Pieces, p: np.ndarray, words: list[str], times: np.ndarray) -> np.ndarray:
     """Expected piece counts of one language by forward and backward sums."""
@@ -147,14 +187,16 @@ def expect(pieces: Pieces, p: np.ndarray, words: list[str], times: np.ndarray) -
     for n, numbers in by_length(words):
         numbers = np.array(numbers)
         arcs = list(pieces.arcs(spelled([words[k] for k in numbers], n)))
+        # scaled by a typical letter's probability, so that long words do not underflow; counts do not depend on it
         a, b = np.zeros((n + 1, len(numbers))), np.zeros((n + 1, len(numbers)))
         a[0] = b[n] = 1
+        grow = np.exp(LETTER * np.arange(n + 1))
         for i, j, rows, piece in arcs:
-            a[j, rows] += a[i, rows] * p[piece]
+            a[j, rows] += a[i, rows] * p[piece] * grow[j - i]
         for i, j, rows, piece in sorted(arcs, key=lambda x: -x[1]):
-            b[i, rows] += b[j, rows] * p[piece]
+            b[i, rows] += b[j, rows] * p[piece] * grow[j - i]
         for i, j, rows, piece in arcs:
-            share = times[numbers[rows]] * a[i, rows] * p[piece] * b[j, rows] / np.maximum(a[n, rows], 1e-300)
+            share = times[numbers[rows]] * a[i, rows] * p[piece] * grow[j - i] * b[j, rows] / np.maximum(a[n, rows], 1e-300)
             counts += np.bincount(piece, share, len(counts))
     return counts
 
@@ -163,17 +205,15 @@ def fit(docs: DataFrame) -> Model:
     """Learns from `text` and non-null `lang` of `docs`."""
     rows = bounded_sample(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), SAMPLE, "doc_id", "lang").select("lang", "text").collect()
     counts: dict[str, Counter] = defaultdict(Counter)
-    n_docs: Counter = Counter()
     for r in sorted(rows):
         counts[r.lang].update(words_of(r.text))
-        n_docs[r.lang] += 1
     languages = sorted(x for x in counts if counts[x])
     pieces = Pieces(vocabulary())
     size = len(pieces.pieces) + 1
     start = np.array([1.0 / len(x) ** 2 for x in pieces.pieces] + [UNSEEN])
     p = np.empty((size, len(languages)))
     for k, x in enumerate(languages):
-        words, own = sorted(counts[x]), start / start.sum()
+        words, own = sorted(w for w in counts[x] if len(w) <= LEARNED), start / start.sum()
         times = np.array([counts[x][w] for w in words], float)
         for _ in range(ROUNDS):
             found = expect(pieces, own, words, times)
