@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,28 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class NoSharedFolderError(RuntimeError):
-    pass
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder. Only a local
-    session may do without: it gets a folder of its own. On a cluster a missing folder is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise NoSharedFolderError("spark.checkpoint.dir is not set, and executors share no other folder")
-        found = f"file://{tempfile.mkdtemp(prefix='textlab-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 _stashed: list[str] = []
 
 
@@ -43,7 +26,7 @@ def stash(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes `df` as a compressed table in the shared folder and reads it back. A lost executor costs a
     re-read, not a recomputation. Tables stay until release() or until the folder is cleaned, as checkpoints do."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textlab/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/textlab/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _stashed.append(path)
     return spark.read.schema(df.schema).parquet(path)

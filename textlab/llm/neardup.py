@@ -203,7 +203,9 @@ def _grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
         out = fn({c: _binary(rows.column(c), kinds[c]) if c in kinds else rows.column(c).to_numpy() for c in rows.column_names})
         return pa.Table.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.groupBy(*keys).applyInArrow(run, schema)
+    # few bytes cost much time here, so partitions are not merged by size
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).groupBy(*keys).applyInArrow(run, schema)
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
