@@ -10,7 +10,7 @@ from ..operators import grid, layout, pairs
 from ..session import shared_folder
 from ..sources import files
 from . import fixtures as X
-from .corpora import _SPLIT, split
+from .corpora import _SPLIT, selected, split
 from .registry import query
 
 
