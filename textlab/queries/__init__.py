@@ -1,6 +1,6 @@
 """Every registered query of the engine with the SQL that states the same result."""
 
-from . import corpora, jobs, scalars, scores  # noqa: F401
+from . import corpora, jobs, reports, scalars, scores  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
