@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,46 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         begin = end
 
 
+_kept: dict[Hashable, object] = {}
+_asked: set[Hashable] = set()
+
+
+def kept_by_worker(name: Hashable, make: Callable[[], object]) -> object:
+    """What this Python worker keeps between its tasks under `name`. Spark gives a worker to any operator's tasks in turn; it
+    goes with the first that does not ask for it, so that no operator works beside another's tables."""
+    _asked.add(name)
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def drop_unasked() -> None:
+    """Called once a task has asked for what it keeps."""
+    if gone := _kept.keys() - _asked:
+        for name in gone:
+            del _kept[name]
+        give_back()
+    _asked.clear()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, not to this worker's next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def mapped(batches: Iterator[pa.RecordBatch], make: Callable[[], Callable]) -> Iterator[tuple[Callable, pa.RecordBatch]]:
+    """The function that `make()` builds for this task, with each of the slices() of its batches."""
+    fn = make()
+    drop_unasked()
+    for batch in batches:
+        for part in slices(batch):
+            yield fn, part
+    del fn
+
+
 def _fields(schema: str | StructType) -> tuple[StructType, pa.Schema]:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -81,11 +122,11 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     fields, arrow = _fields(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
-        for batch in batches:
-            for part in slices(batch):
-                for out in fn(part):
-                    yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in arrow], schema=arrow)
+        for fn, part in mapped(batches, make):
+            for out in fn(part):
+                yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in arrow], schema=arrow)
+        fn = part = out = None
+        give_back()
 
     return df.mapInArrow(run, fields)
 
@@ -96,13 +137,13 @@ def text_map(docs: DataFrame, keep: list[str], make: Callable[[], Callable[[list
     fields, arrow = _fields(StructType([docs.schema[c] for c in keep] + list(StructType.fromDDL(results))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
-        for batch in batches:
-            for part in slices(batch):
-                out = fn(part.column(len(keep)).to_pylist())
-                rows = part if "take" not in out else part.take(pa.array(out["take"], pa.int64()))
-                made = [_column(out[f.name], f.type) for f in list(arrow)[len(keep) :]]
-                yield pa.RecordBatch.from_arrays([rows.column(i).cast(arrow.field(i).type) for i in range(len(keep))] + made, schema=arrow)
+        for fn, part in mapped(batches, make):
+            out = fn(part.column(len(keep)).to_pylist())
+            rows = part if "take" not in out else part.take(pa.array(out["take"], pa.int64()))
+            made = [_column(out[f.name], f.type) for f in list(arrow)[len(keep) :]]
+            yield pa.RecordBatch.from_arrays([rows.column(i).cast(arrow.field(i).type) for i in range(len(keep))] + made, schema=arrow)
+        fn = part = out = rows = made = None
+        give_back()
 
     return docs.select(*[docs[c] for c in keep], docs[text].alias("__text")).mapInArrow(run, fields)
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import stash, table, text_map
+from .common import drop_unasked, stash, table, text_map
 from .kernels import WordHashes, grams
 
 REGISTERS, BANDS, ROWS, BASE, PERCENT = 128, 32, 4, 1.02, 80
@@ -200,6 +200,7 @@ def _grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     kinds = {"sketch": np.uint16, "items": np.uint64}
 
     def run(rows: pa.Table) -> pa.Table:
+        drop_unasked()
         out = fn({c: _binary(rows.column(c), kinds[c]) if c in kinds else rows.column(c).to_numpy() for c in rows.column_names})
         return pa.Table.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -4,7 +4,7 @@ Where no piece of a model holds a whitespace marker after another symbol, no mer
 A text then falls apart into chunks (a run of markers and what follows it) that are segmented independently. The distinct
 chunks of a slice of texts that the table lacks are segmented, and decoded, by the library in one call; ids are joined back
 by position. The table belongs to the Python worker and outlives its tasks, so a chunk is segmented again only by another
-worker or after it was forgotten; recurring chunks stay. Decoding joins the chunks' own decodings by position: most chunks
+worker or after it was forgotten; recurring chunks stay. It goes when the worker turns to another operator. Decoding joins the chunks' own decodings by position: most chunks
 decode to themselves, the table names the others. A model whose pieces do cross markers is refused at construction.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are encoded alike; very long
@@ -14,7 +14,6 @@ chunks (no space for a long stretch) are encoded but not remembered, so memory s
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 
@@ -22,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_map
+from .common import kept_by_worker, table, text_map
 
 MARK = "▁"
+PART_CHARS = 500_000  # whose chunks are objects at once; a longer text is a part of its own
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 TYPES = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -72,10 +72,29 @@ class ChunkCodec:
 
     def run(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """The number of ids, the ids as decimal text joined by commas, and the decoded text of each."""
-        split = [self.chunks(t) if t else [] for t in texts]
+        out, part, size = [], [], 0
         met: set[str] = set()
-        met.update(*split)
-        if new := met.difference(self.ids):
+        for t in texts:
+            part.append(t)
+            size += len(t or "")
+            if size >= PART_CHARS:
+                out += self._part(part, met)
+                part, size = [], 0
+        out += self._part(part, met)
+        if len(self.ids) > self.most:  # what this call has met stays, as far as there is room
+            self.ids = {c: self.ids[c] for c in met} if len(met) <= self.most else {}
+        for c in [c for c in met if len(c) > self.longest]:
+            self.ids.pop(c, None)
+        if self.odd:
+            self.odd = {c: x for c, x in self.odd.items() if c in self.ids}
+        return out
+
+    def _part(self, texts: list[str | None], met: set[str]) -> list[tuple[int, str, str]]:
+        """run() of some texts, whose chunks are added to `met`; nothing is forgotten yet."""
+        split = [self.chunks(t) if t else [] for t in texts]
+        found = set().union(*split)
+        met |= found
+        if new := found.difference(self.ids):
             self._segment(list(new))
         look, odd, out = self.ids.__getitem__, self.odd, []
         for t, chunks in zip(texts, split, strict=True):
@@ -83,19 +102,12 @@ class ChunkCodec:
             plain = not odd or odd.keys().isdisjoint(chunks)
             text = (t or "").replace(MARK, " ") if plain else " ".join([odd.get(c, c) for c in chunks])
             out.append((ids.count(","), ids[1:], text))
-        if len(self.ids) > self.most:  # what this call has met stays, as far as there is room
-            self.ids = {c: self.ids[c] for c in met} if len(met) <= self.most else {}
-        for c in [c for c in met if len(c) > self.longest]:
-            self.ids.pop(c, None)
-        if self.odd:
-            self.odd = {c: x for c, x in self.odd.items() if c in self.ids}
         return out
 
 
-@functools.lru_cache(maxsize=1)
 def worker_codec(model: str) -> ChunkCodec:
     """The Python worker's own codec."""
-    return ChunkCodec(model)
+    return kept_by_worker((ChunkCodec, model), lambda: ChunkCodec(model))
 
 
 def encode_decode(docs: DataFrame, model: str | None = None, text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), keep: list[str] | None = None) -> DataFrame:
