@@ -1,4 +1,4 @@
-"""The array kernels against plain Python."""
+"""The array kernels against plain Python, and how often a job reads its pairs."""
 
 import random
 import re
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textlab.functions import units
 from textlab.functions import text as T
 from textlab.operators import corpus
+from textlab.queries import scores
 
 SIGNS = [chr(c) for c in (0x0BBE, 0x0BD7, 0x0BC6, 0x0BC7, 0x0BCD)]
 LETTERS = [chr(c) for c in (0x0B92, 0x0BCA, 0x0B95, 0xE9, 0x41, 0x20, 0xA0, 0x200C, 0x301, 0x327, 0x1C, 0x3000, 0x2028, 0x11A8, 0xAC00, 0x1F600, 0x212B, 0x0A)]
@@ -73,6 +74,13 @@ def test_words_are_counted_and_cut():
     assert list(zip(text.tolist(), line.tolist(), n.tolist(), piece.to_pylist())) == want
 
 
+def test_no_pairs_under_every_profile(spark, monkeypatch):
+    none = spark.createDataFrame([], "name string, ref string, hyp string")
+    monkeypatch.setattr(scores.X, "pairs", lambda *_: none)
+    got = scores.profile_sensitivity(spark, "").collect()
+    assert sorted(r.profile for r in got) == sorted(p.name for p in T.PROFILES) and all(not any(r[1:]) for r in got)
+
+
 def test_documents_are_cut_without_a_udf_over_whole_batches(spark):
     docs = spark.createDataFrame([(1, "s", "a b " * 20), (2, "s", None)], "doc_id long, source string, text string")
     df = corpus.chunk(docs, keep_tail=True)
