@@ -1,5 +1,6 @@
 """The array kernels against plain Python, and how often a job reads its pairs."""
 
+import hashlib
 import random
 import re
 import unicodedata
@@ -9,9 +10,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textlab.functions import units
+from textlab import queries as core
+from textlab.functions import digests, units
 from textlab.functions import text as T
-from textlab.operators import corpus
+from textlab.operators import corpus, evaluate
 from textlab.queries import scores
 
 SIGNS = [chr(c) for c in (0x0BBE, 0x0BD7, 0x0BC6, 0x0BC7, 0x0BCD)]
@@ -74,6 +76,47 @@ def test_words_are_counted_and_cut():
     assert list(zip(text.tolist(), line.tolist(), n.tolist(), piece.to_pylist())) == want
 
 
+def test_digests_are_md5():
+    keys = ["a", "", None, "x" * 50, "y" * 60, "z" * 130, "க்ஷ:9", *(f"src{i % 20}:{i}" for i in range(50))]
+    got = np.zeros((1_003, len(keys)), np.uint32)
+    for reps, rows, values in digests.digests(7, 1_003, pa.array(["-", *keys])[1:]):
+        got[reps, rows] = values
+    for rep in (0, 9, 10, 99, 100, 999, 1_000, 1_002):
+        said = [f"7|{rep}" + ("" if k is None else f"|{k}") for k in keys]
+        assert got[rep].tolist() == [int(hashlib.md5(m.encode()).hexdigest()[:8], 16) for m in said]
+
+
+def test_index_resamples_are_drawn_from_rows_in_order(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "PACKED_ROWS", 7)
+    monkeypatch.setattr(evaluate, "DRAWS_A_TASK", 900)
+    rows = [(f"p{i}", i % 5, 20 + i, i % 2, 400 if i == 3 else 4) for i in range(60)]
+    scored = spark.createDataFrame(rows, "name string, grapheme_edits int, grapheme_ref int, word_edits int, word_ref int").repartition(4)
+    got = {r.metric: (r.lo, r.hi) for r in evaluate.bootstrap(scored, "name", n_boot=50, seed=3, method="index").collect()}
+    rows.sort()
+    draw = lambda rep, k: rows[int(hashlib.md5(f"3|{rep}|{k}".encode()).hexdigest()[:8], 16) % 60]
+    for metric, e in (("grapheme", 1), ("word", 3)):
+        rates = sorted(sum(d[e] for d in drawn) / sum(d[e + 1] for d in drawn) for drawn in ([draw(rep, k) for k in range(60)] for rep in range(50)))
+        assert got[metric] == (rates[1], rates[48])
+
+
+def test_registered_index_intervals_use_the_references_resamples(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(evaluate, "bootstrap", lambda *a, **k: asked.append((k["n_boot"], k["method"])))
+    scores.bootstrap_ci_index(spark, "/root/testdata/sf0.001")
+    assert asked == [(2_000, "index")]
+    assert "range(0, 2000)" in core.ORACLES["bootstrap_ci_index"]
+
+
+def reads(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+
+
+def test_pairs_are_scored_once_for_all_intervals_and_profiles(spark):
+    pairs = spark.createDataFrame([("a", "க கி", "கி"), ("b", "x", "x")], "name string, ref string, hyp string")
+    assert reads(evaluate.bootstrap(evaluate.score(pairs), "name", n_boot=10)) == 1
+    assert reads(evaluate.aggregate(evaluate.score_profiles(pairs, T.PROFILES), ["profile"])) == 1
+
+
 def test_no_pairs_under_every_profile(spark, monkeypatch):
     none = spark.createDataFrame([], "name string, ref string, hyp string")
     monkeypatch.setattr(scores.X, "pairs", lambda *_: none)
