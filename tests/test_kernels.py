@@ -107,6 +107,12 @@ def test_registered_index_intervals_use_the_references_resamples(spark, monkeypa
     assert "range(0, 2000)" in core.ORACLES["bootstrap_ci_index"]
 
 
+def test_variant_metrics_hold_all_rates_over_the_references_resamples(spark):
+    got = {r.metric for r in scores.variant_metrics(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {*scores._METRICS, "grapheme_lo", "grapheme_hi", "word_lo", "word_hi"} and {"cer_grapheme_macro", "wer_macro", "total_words"} <= got
+    assert "range(0, 2000)" in core.ORACLES["variant_metrics"]
+
+
 def reads(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
 
